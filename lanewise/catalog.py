@@ -1,6 +1,7 @@
 """All analyses by id, each a function of a star.
 
-``RAW`` run on the tables as loaded, ``CLEAN`` on the cleaned tables.
+``RAW`` run on the tables as loaded, ``CLEAN`` on the cleaned tables;
+``CLEANING`` gives the cleaned tables themselves.
 """
 
 from __future__ import annotations
@@ -51,12 +52,15 @@ RAW: dict[str, Analysis] = {
     "audit_before": audit.before,
 }
 
-CLEAN: dict[str, Analysis] = {
+CLEANING: dict[str, Analysis] = {
     "clean_suppliers": lambda star: star.table("ref_suppliers"),
     "clean_carriers": lambda star: star.table("ref_carriers"),
     "clean_routes": lambda star: star.table("ref_routes"),
     "clean_products": lambda star: star.table("ref_products"),
     "clean_shipments": lambda star: star.table("fact_shipments"),
+}
+
+CLEAN: dict[str, Analysis] = {
     "confirm_suppliers": audit.confirm_suppliers,
     "confirm_carriers": audit.confirm_carriers,
     "confirm_routes": audit.confirm_routes,

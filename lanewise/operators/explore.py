@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lanewise import schema
 from lanewise.functions.exprs import blank
@@ -89,9 +89,10 @@ def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
     layout = schema.TABLES[name]
     counted = _sketched(df) if approximate else _counted(df)
 
-    def per_column(values: dict) -> F.Column:
-        pairs = [F.lit(x) for item in values.items() for x in item]
-        return F.element_at(F.create_map(*pairs), F.col("column_name"))
+    def per_column(values: dict) -> Column:
+        """Look a fact about the column up in a literal map; NULL if it has none."""
+        pairs = ", ".join(f"{key!r}, {value!r}" for key, value in values.items())
+        return F.try_element_at(F.expr(f"map({pairs})"), F.col("column_name"))
 
     fields = list(layout)
     widths = {f.name: f.metadata["max_length"] for f in fields if "max_length" in f.metadata}
@@ -101,8 +102,7 @@ def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
         "column_name",
         per_column({f.name: f.dataType.simpleString() for f in fields}).alias("data_type"),
         F.lit("YES").alias("is_nullable"),
-        F.try_element_at(F.create_map(*[F.lit(x) for item in widths.items() for x in item]),
-                         F.col("column_name")).alias("character_maximum_length"),
+        per_column(widths).alias("character_maximum_length"),
         "n_null", "n_blank", "n_distinct",
     )
 
@@ -120,7 +120,7 @@ def _counted(df: DataFrame) -> DataFrame:
     absent = F.col("value").isNull()
     empty = F.trim("value") == ""
 
-    def rows_where(test) -> F.Column:
+    def rows_where(test: Column) -> Column:
         return F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
 
     return values.groupBy("column_name").agg(

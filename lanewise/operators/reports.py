@@ -7,9 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanewise.functions import labels, measures as m
-from lanewise.functions.exprs import (
-    month_span, percentage, quotient, unknown, utilisation, whole_division,
-)
+from lanewise.functions.exprs import month_span, quotient, utilisation, whole_division
 from lanewise.operators.scope import dated
 from lanewise.plans.rollup import DIMENSION_KEY, roll_up
 from lanewise.sources.star import Star
@@ -62,48 +60,55 @@ def _zero(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(0))
 
 
-def _from_dimensions() -> dict[str, tuple[str, dict[str, Column]]]:
-    """Dimension, its key, and its report columns: name and value."""
+def _from_dimensions() -> dict[str, tuple[str, dict[str, tuple[Column, object]]]]:
+    """Per dimension: its key and its report columns.
+
+    A column has a value, computed once per dimension row, and the default that
+    a NULL value and a shipment without a matching row get.
+    """
+    used = utilisation(_zero("current_load"), "capacity")
     return {
         "ref_suppliers": ("supplier_key", {
-            "supplier_key": F.col("supplier_key"),
-            "supplier_name": F.coalesce(F.col("supplier_name"), F.lit("Unknown Supplier")),
-            "supplier_country": unknown("country"),
-            "contract_tier": unknown("contract_tier"),
-            "supplier_category": unknown("category"),
-            "supplier_rating": F.coalesce(F.col("rating").cast("string"), F.lit("Unrated")),
+            "supplier_key": (F.col("supplier_key"), None),
+            "supplier_name": (F.col("supplier_name"), "Unknown Supplier"),
+            "supplier_country": (F.col("country"), "Unknown"),
+            "contract_tier": (F.col("contract_tier"), "Unknown"),
+            "supplier_category": (F.col("category"), "Unknown"),
+            "supplier_rating": (F.col("rating").cast("string"), "Unrated"),
         }),
         "ref_carriers": ("carrier_key", {
-            "carrier_key": F.col("carrier_key"),
-            "carrier_name": F.coalesce(F.col("carrier_name"), F.lit("Unknown Carrier")),
-            "transport_mode": unknown("transport_mode"),
-            "avg_cost_per_km": _zero("avg_cost_per_km").cast("decimal(8,4)"),
+            "carrier_key": (F.col("carrier_key"), None),
+            "carrier_name": (F.col("carrier_name"), "Unknown Carrier"),
+            "transport_mode": (F.col("transport_mode"), "Unknown"),
+            "avg_cost_per_km": (F.col("avg_cost_per_km"), 0),
         }),
         "ref_routes": ("route_key", {
-            "route_key": F.col("route_key"),
-            "route_origin": unknown("origin"),
-            "route_destination": unknown("destination"),
-            "route_region": unknown("region"),
-            "distance_km": _zero("distance_km"),
-            "expected_transit_days": _zero("avg_transit_days").cast("smallint"),
-            "route_distance_band": labels.band(_zero("distance_km"), labels.REPORT_DISTANCE_BANDS),
+            "route_key": (F.col("route_key"), None),
+            "route_origin": (F.col("origin"), "Unknown"),
+            "route_destination": (F.col("destination"), "Unknown"),
+            "route_region": (F.col("region"), "Unknown"),
+            "distance_km": (F.col("distance_km"), 0),
+            "expected_transit_days": (F.col("avg_transit_days"), 0),
+            "route_distance_band": (
+                labels.band(_zero("distance_km"), labels.REPORT_DISTANCE_BANDS),
+                labels.REPORT_DISTANCE_BANDS[0][2]),
         }),
         "ref_warehouses": ("warehouse_key", {
-            "warehouse_key": F.col("warehouse_key"),
-            "warehouse_location": unknown("location"),
-            "warehouse_region": unknown("region"),
-            "warehouse_capacity": _zero("capacity"),
-            "warehouse_load": _zero("current_load"),
-            "warehouse_utilisation_pct": utilisation(_zero("current_load"), "capacity"),
-            "warehouse_status": labels.at_least(utilisation(_zero("current_load"), "capacity"),
-                                                labels.REPORT_WAREHOUSE_STATUS),
+            "warehouse_key": (F.col("warehouse_key"), None),
+            "warehouse_location": (F.col("location"), "Unknown"),
+            "warehouse_region": (F.col("region"), "Unknown"),
+            "warehouse_capacity": (F.col("capacity"), 0),
+            "warehouse_load": (F.col("current_load"), 0),
+            "warehouse_utilisation_pct": (used, None),
+            "warehouse_status": (labels.at_least(used, labels.REPORT_WAREHOUSE_STATUS),
+                                 labels.REPORT_WAREHOUSE_STATUS[-1][1]),
         }),
         "ref_products": ("product_key", {
-            "product_key": F.col("product_key"),
-            "product_name": F.coalesce(F.col("product_name"), F.lit("Unknown Product")),
-            "product_category": unknown("category"),
-            "product_fragility": unknown("fragility"),
-            "product_value_usd": _zero("value_usd").cast("decimal(12,2)"),
+            "product_key": (F.col("product_key"), None),
+            "product_name": (F.col("product_name"), "Unknown Product"),
+            "product_category": (F.col("category"), "Unknown"),
+            "product_fragility": (F.col("fragility"), "Unknown"),
+            "product_value_usd": (F.col("value_usd"), 0),
         }),
     }
 
@@ -189,11 +194,16 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
         *[F.col(k).alias(f"_{k}") for k in keys],
     )
     for table, (key, named) in used.items():
-        # The defaults stay above the join: an unmatched shipment gets them too.
-        match = F.col(f"f._{key}") == F.col(f"d.{key}")
+        rows = star.dimension(table).select(
+            F.col(key).alias("_match"), *[value.alias(n) for n, (value, _) in named.items()])
+        defaults = {
+            n: F.coalesce(F.col(f"d.{n}"), F.lit(default).cast(rows.schema[n].dataType))
+            if default is not None else F.col(f"d.{n}")
+            for n, (_, default) in named.items()
+        }
         flat = (
-            flat.alias("f").join(star.dimension(table).alias("d"), match, "left")
-            .select("f.*", *[expr.alias(n) for n, expr in named.items()])
+            flat.alias("f").join(rows.alias("d"), F.col(f"f._{key}") == F.col("d._match"), "left")
+            .select("f.*", *[expr.alias(n) for n, expr in defaults.items()])
             .drop(f"_{key}")
         )
     for name, expr in _combined().items():

@@ -13,10 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lanewise import schema
-from lanewise.functions.exprs import blank
-from lanewise.sources.star import read_star, write_table
+from lanewise.sources.star import write_table
 
-_BROKEN = "_broken_line"
+_LINE = "_line"  # filled by the reader for lines it could not convert in full
 
 
 @dataclass(frozen=True)
@@ -30,39 +29,44 @@ class Load:
 def load(spark: SparkSession, table: str, path: str | list[str], header: bool = True) -> Load:
     layout = schema.TABLES[table]
     names = layout.fieldNames()
-    as_text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BROKEN]])
     lines = (
-        spark.read.schema(as_text)
+        spark.read.schema(T.StructType([*layout, T.StructField(_LINE, T.StringType())]))
         .option("header", header)
         .option("sep", ",")
         .option("quote", "")
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
+        .option("columnNameOfCorruptRecord", _LINE)
+        .option("columnPruning", False)  # with it, surplus fields go unnoticed
         .csv(path)
     )
-    parsed = {f.name: _parse(f) for f in layout}
-    reason = F.when(F.col(_BROKEN).isNotNull(), F.lit("wrong number of fields"))
-    for field in layout:
-        if not isinstance(field.dataType, T.StringType):
-            wrong = ~blank(field.name) & parsed[field.name].isNull()
-            reason = reason.when(wrong, F.lit(f"bad value in {field.name}"))
-    checked = lines.withColumn("_reason", reason.otherwise(F.lit(None)))
-    line = F.concat_ws(",", *[F.coalesce(F.col(n), F.lit("")) for n in names])
+    reason = _reason(layout)
     return Load(
-        rows=checked.where(F.col("_reason").isNull())
-        .select(*[expr.alias(name) for name, expr in parsed.items()]),
-        rejects=checked.where(F.col("_reason").isNotNull()).select(
-            F.lit(table).alias("table_name"),
-            F.coalesce(F.col(_BROKEN), line).alias("line"),
-            F.col("_reason").alias("reason"),
-        ),
+        rows=lines.where(reason.isNull()).select(*names),
+        rejects=lines.where(reason.isNotNull()).select(
+            F.lit(table).alias("table_name"), F.col(_LINE).alias("line"), reason.alias("reason")),
     )
 
 
-def _parse(field: T.StructField) -> Column:
-    if isinstance(field.dataType, T.StringType):
-        return F.col(field.name)
-    return F.trim(field.name).try_cast(field.dataType)
+def _reason(layout: T.StructType) -> Column:
+    """Why a line is rejected; NULL for a good line.
+
+    The reader keeps the text of a line it could not convert in full and leaves
+    the failed fields NULL.  Only such lines are looked at again: they are good
+    if every failed field is blank.
+    """
+    failed = F.array(*[
+        F.lit(False) if isinstance(f.dataType, T.StringType) else F.col(f.name).isNull()
+        for f in layout
+    ])
+    fields = F.split(_LINE, ",")
+    wrong = F.zip_with(fields, failed, lambda text, null: null & (F.trim(text) != ""))
+    first = F.array_position(wrong, F.lit(True)).cast("int")
+    name = F.element_at(F.array(*[F.lit(n) for n in layout.fieldNames()]), first)
+    return (
+        F.when(F.col(_LINE).isNull(), F.lit(None))
+        .when(F.size(fields) != len(layout), F.lit("wrong number of fields"))
+        .when(first > 0, F.concat(F.lit("bad value in "), name))
+    )
 
 
 def load_star(spark: SparkSession, paths: dict[str, str], root: str) -> dict[str, str]:
@@ -94,6 +98,3 @@ def export(df: DataFrame, path: str) -> None:
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-
-
-__all__ = ["Load", "load", "load_star", "export", "read_star"]

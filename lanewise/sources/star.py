@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lanewise import schema
 
@@ -90,19 +90,19 @@ def write_table(df: DataFrame, name: str, root: str) -> None:
     The rebalance hint lets AQE cut a month with very many shipments into
     several even files and put small months together in one task.
     """
-    writer_of = df
-    if name == "fact_shipments":
-        writer_of = df.withColumn(MONTH, F.trunc("order_date", "MM")).hint("rebalance", MONTH)
-        writer_of.write.mode("overwrite").partitionBy(MONTH).parquet(f"{root}/{name}")
-    else:
-        writer_of.write.mode("overwrite").parquet(f"{root}/{name}")
+    path = f"{root}/{name}"
+    if name != "fact_shipments":
+        df.write.mode("overwrite").parquet(path)
+        return
+    monthly = df.withColumn(MONTH, F.trunc("order_date", "MM")).hint("rebalance", MONTH)
+    monthly.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
 
 def read_table(spark: SparkSession, name: str, root: str) -> DataFrame:
     """Read one stored table.  The declared schema avoids a footer scan."""
     layout = schema.TABLES[name]
     if name == "fact_shipments":
-        layout = layout.__class__(list(layout.fields)).add(MONTH, "date")
+        layout = T.StructType([*layout, T.StructField(MONTH, T.DateType())])
     return spark.read.schema(layout).parquet(f"{root}/{name}")
 
 
