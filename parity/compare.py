@@ -31,9 +31,8 @@ def difference(df: DataFrame, db: duckdb.DuckDBPyConnection, text: str) -> str:
     if wrong:
         return f"types {wrong}"
     names = sorted(ours)
-    at = [list(theirs).index(c) for c in names]
-    expected = sorted((tuple(row[i] for i in at) for row in found.fetchall()), key=repr)
-    actual = sorted((tuple(row) for row in df.select(*names).collect()), key=repr)
+    expected = _sorted(found.fetchall(), list(theirs), names)
+    actual = _sorted(df.collect(), df.columns, names)
     if len(expected) != len(actual):
         return f"rows {len(actual)}, expected {len(expected)}"
     for a, e in zip(actual, expected):
@@ -41,3 +40,8 @@ def difference(df: DataFrame, db: duckdb.DuckDBPyConnection, text: str) -> str:
             cells = {c: (x, y) for c, x, y in zip(names, a, e) if x != y}
             return f"row {a}\nexpected {e}\ncells {cells}"
     return ""
+
+
+def _sorted(rows, columns: list[str], names: list[str]) -> list[tuple]:
+    at = [columns.index(c) for c in names]
+    return sorted((tuple(row[i] for i in at) for row in rows), key=repr)

@@ -827,12 +827,13 @@ def _reports() -> dict[str, str]:
     }
 
 
-def twins() -> dict[str, str]:
+def twins(tables: dict[str, str] = RAW) -> dict[str, str]:
+    """SQL per id; ``tables`` gives the query behind each raw table."""
     raw = {**_loads(), "load_rejects": _rejects(), **_explore(), **_dates(), **_distribution(),
            "audit_before": _audit_before()}
     clean = {**_audits(), **_cleaned(), **_kpis(), **_rankings(), **_trends(), **_cumulative(),
              **_benchmarks(), **_segments(), **_shares(), **_reports()}
     return {
-        **{name: with_star(text, clean=False) for name, text in raw.items()},
-        **{name: with_star(text, clean=True) for name, text in clean.items()},
+        **{name: with_star(text, False, tables) for name, text in raw.items()},
+        **{name: with_star(text, True, tables) for name, text in clean.items()},
     }

@@ -181,9 +181,9 @@ def join(alias: str) -> str:
     return f"left join {table} {alias} on {alias}.{key} = f.{key}"
 
 
-def with_star(query: str, clean: bool) -> str:
+def with_star(query: str, clean: bool, raw: dict[str, str] = RAW) -> str:
     """The query over the raw or the clean tables; the facts carry cents too."""
-    parts = [f"raw_{name} as ({body})" for name, body in RAW.items()]
+    parts = [f"raw_{name} as ({body})" for name, body in raw.items()]
     for name in RAW:
         body = CLEAN[name] if clean else f"select * from raw_{name}"
         if name == "fact_shipments":
