@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanewise.functions import labels, measures as m
 from lanewise.functions.exprs import month_span, quotient, utilisation, whole_division
-from lanewise.operators.scope import dated
+from lanewise.operators.scope import dated, ordered_between
 from lanewise.plans.rollup import DIMENSION_KEY, roll_up
 from lanewise.sources.star import Star
 
@@ -169,9 +169,12 @@ SHIPMENT_REPORT = [
 ]
 
 
-def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool = False) -> DataFrame:
+def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool = False,
+              period: tuple[date, date] | None = None) -> DataFrame:
     """One row per valid, dated shipment with its five dimensions and classes.
 
+    ``period`` keeps the shipments ordered between two days.
+
     Only dimensions that contribute to ``columns`` are joined.  The joins carry
     no hints: small dimensions are broadcast by their size statistics, large
     ones are shuffled and AQE splits the partitions of frequent keys.
@@ -189,7 +192,10 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
     used = {table: part for table, part in parts.items() if part[1]}
     keys = [key for key, _ in used.values()]
 
-    flat = dated(star.facts(*keys)).select(
+    facts = dated(star.facts(*keys))
+    if period:
+        facts = ordered_between(facts, *period)
+    flat = facts.select(
         *[expr.alias(n) for n, expr in own.items() if n in base],
         *[F.col(k).alias(f"_{k}") for k in keys],
     )
@@ -223,13 +229,14 @@ def publish(star: Star, as_of: date | None = None, root: str | None = None) -> N
 
 
 def drill(star: Star, by: list[str], where: Column | None = None,
-          filtered: list[str] | None = None) -> DataFrame:
-    """Group the shipment report by any of its columns, after an optional filter.
+          filtered: list[str] | None = None,
+          period: tuple[date, date] | None = None) -> DataFrame:
+    """Group the shipment report by any of its columns, after optional filters.
 
-    ``filtered`` names the report columns the filter reads.
+    ``filtered`` names the report columns that ``where`` reads.
     """
     needed = ["shipment_key", "delay_days", "shipment_cost", *by, *(filtered or [])]
-    report = shipments(star, list(dict.fromkeys(needed)))
+    report = shipments(star, list(dict.fromkeys(needed)), period=period)
     if where is not None:
         report = report.where(where)
     g = roll_up(report, ["shipments", "late", "cost", "late_cost"], at={c: F.col(c) for c in by})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from lanewise.functions.labels import DATA_ERROR
+from lanewise.sources.star import MONTH
 
 
 def valid(facts: DataFrame) -> DataFrame:
@@ -18,3 +21,14 @@ def dated(facts: DataFrame) -> DataFrame:
 
 def costed(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("shipment_cost").isNotNull())
+
+
+def ordered_between(facts: DataFrame, first: date, last: date) -> DataFrame:
+    """Shipments ordered in a period, both days included.
+
+    On stored shipments only the partitions of the months touched are read.
+    """
+    kept = facts.where(F.col("order_date").between(F.lit(first), F.lit(last)))
+    if MONTH in facts.columns:
+        kept = kept.where(F.col(MONTH).between(F.lit(first.replace(day=1)), F.lit(last)))
+    return kept
