@@ -30,8 +30,9 @@ def _against_history(
     order = own.orderBy("shipment_year", *[F.asc_nulls_first(c) for c in ties])
     off_average = F.col(value) - F.col(average)
     return (
-        df.withColumn(average, F.avg(value).over(own))
-        .withColumn(previous, F.lag(value).over(order))
+        # the lag sorts by entity and year, which the average can use as it is
+        df.withColumn(previous, F.lag(value).over(order))
+        .withColumn(average, F.avg(value).over(own))
         .withColumn("diff_from_avg", F.round(off_average, 2))
         .withColumn("avg_change", F.when(off_average > 0, F.lit("Above Avg"))
                     .when(off_average < 0, F.lit("Below Avg")).otherwise(F.lit("Avg")))
@@ -45,7 +46,7 @@ def supplier_delay(star: Star) -> DataFrame:
                 dimension=star.suppliers, key="supplier_key",
                 by={c: F.col(c) for c in ("supplier_name", "country", "contract_tier")})
     rates = g.select("shipment_year", "supplier_name", "country", "contract_tier",
-                     m.delay_rate().cast("decimal(5,2)").alias("current_delay_rate"))
+                     m.delay_rate().alias("current_delay_rate"))
     return _against_history(
         rates, "supplier_name", "current_delay_rate", "avg_delay_rate", "py_delay_rate",
         ("Worsening", "Improving"), ["country", "contract_tier"],
@@ -57,7 +58,7 @@ def carrier_on_time(star: Star) -> DataFrame:
                 dimension=star.carriers, key="carrier_key",
                 by={c: F.col(c) for c in ("carrier_name", "transport_mode")})
     rates = g.select("shipment_year", "carrier_name", "transport_mode",
-                     m.on_time_rate().cast("decimal(5,2)").alias("current_otd_rate"))
+                     m.on_time_rate().alias("current_otd_rate"))
     return _against_history(
         rates, "carrier_name", "current_otd_rate", "avg_otd_rate", "py_otd_rate",
         ("Improving", "Declining"), ["transport_mode"],
@@ -84,7 +85,7 @@ def warehouse_delay(star: Star) -> DataFrame:
                     "warehouse_region": unknown("region"),
                     "current_load": F.col("current_load"), "capacity": F.col("capacity")})
     rates = g.withColumn("utilisation_pct", utilisation("current_load", "capacity")).withColumn(
-        "current_delay_rate", m.delay_rate().cast("decimal(5,2)")).drop("shipments", "late")
+        "current_delay_rate", m.delay_rate()).drop("shipments", "late")
     return _against_history(
         rates, "warehouse_location", "current_delay_rate", "avg_delay_rate", "py_delay_rate",
         ("Worsening", "Improving"), ["warehouse_region", "current_load", "capacity"],

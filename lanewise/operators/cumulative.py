@@ -40,7 +40,7 @@ def monthly_cost(star: Star) -> DataFrame:
         F.col("shipments").alias("monthly_shipments"),
         m.total_cost().alias("monthly_cost"),
         F.col("late").alias("delayed_shipments"),
-        m.delay_rate().cast("decimal(5,2)").alias("_rate"),
+        m.delay_rate().alias("_rate"),
     )
     return (
         months.withColumn("running_total_cost", _running("monthly_cost", bucket))

@@ -71,7 +71,7 @@ def route_distance(star: Star) -> DataFrame:
                 by={"route_key": F.col(DIMENSION_KEY),
                     **{c: F.col(c) for c in ("origin", "destination", "region", "distance_km")}})
     band = labels.band("distance_km", labels.DISTANCE_BANDS)
-    rates = g.withColumn("rate", m.delay_rate().cast("decimal(5,2)"))
+    rates = g.withColumn("rate", m.delay_rate())
     bands = rates.groupBy(band.alias("distance_band")).agg(
         F.count("route_key").alias("total_routes"),
         F.avg("rate").alias("rate"),

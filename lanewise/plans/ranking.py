@@ -19,6 +19,8 @@ def keep_rank(df: DataFrame, value: Column, limit: int, name: str) -> DataFrame:
     rows as a scalar subquery; any number of ties stays distributed.  The whole
     rows are kept in the subquery so that its plan equals the outer one and
     Spark reuses the aggregation shuffle instead of reading the table again.
+    Every row looks at the ``limit`` values: meant for short lists, see
+    :func:`rank_all` for deep ones.
     """
     ranked = df.withColumn("_value", F.coalesce(value, F.lit(-1)))
     top = (
@@ -34,39 +36,48 @@ def keep_rank(df: DataFrame, value: Column, limit: int, name: str) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """1-based row numbers in a total order, kept in sorted partitions.
+def _sorted_once(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in sorted partitions, written down with their place.
 
-    The rows are range-partitioned and sorted once and written down, so that
-    partition and row number are the same for every later reader, also after
-    an executor is lost.  Only one count per partition is brought together.
+    Partition and row number are then the same for every later reader, also
+    after an executor is lost.
     """
-    laid = freeze(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _ROW_BITS)
-    within = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    sizes = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
-    # one row per sort partition, at most spark.sql.shuffle.partitions
+    return freeze(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _positions(laid: DataFrame, name: str) -> DataFrame:
+    """1-based row numbers; only one count per partition is brought together."""
+    rows = laid.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.select(
-        "part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
-    offsets = starts.agg(F.map_from_entries(F.collect_list(F.struct("part", "start"))))
+        "_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_start"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    # one row per sort partition, at most spark.sql.shuffle.partitions: safe to broadcast
     return (
-        laid.withColumn("_offsets", offsets.scalar())
-        .withColumn(name, F.element_at("_offsets", part) + within + 1)
-        .drop("_at", "_offsets")
+        rows.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + within + 1)
+        .drop("_at", "_part", "_start")
     )
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Row numbers in a total order over the whole result."""
+    return _positions(_sorted_once(df, order), name)
+
+
 def rank_all(df: DataFrame, value: Column, ties: list[str], name: str) -> DataFrame:
     """RANK by descending value for every row.  ``ties`` make the order total."""
-    ranked = df.withColumn("_value", value)
     order = [F.desc_nulls_last("_value"), *[F.asc_nulls_first(c) for c in ties]]
-    rows = number_rows(ranked, order, "_position")
+    laid = _sorted_once(df.withColumn("_value", value), order)
     # The first position of a value is the rank of all its rows.  A value that
     # many rows share makes a skewed join side, which AQE splits.
-    firsts = rows.groupBy(F.col("_value").alias("_first")).agg(F.min("_position").alias(name))
+    firsts = (
+        _positions(laid, "_position").groupBy(F.col("_value").alias("_first"))
+        .agg(F.min("_position").alias(name))
+    )
     return (
-        rows.join(firsts, rows["_value"].eqNullSafe(firsts["_first"]))
-        .drop("_value", "_first", "_position")
+        laid.join(firsts, laid["_value"].eqNullSafe(firsts["_first"]))
+        .drop("_value", "_first", "_at")
     )
 
 
