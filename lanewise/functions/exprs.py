@@ -46,11 +46,11 @@ def whole_division(num: Column, den: Column) -> Column:
 def quotient(num: Column, den: Column, times: int = 1) -> Column:
     """num * times / den as an exact decimal; NULL where the divisor is 0.
 
-    The result keeps at least 14 decimals, so a later round() sees the true
-    half for every divisor below 1e13.
+    Numerator and divisor may be any BIGINT.  The result keeps 14 decimals, so
+    rounding to two places is exact for every divisor below 1e12.
     """
     top = num.cast("decimal(20,0)") * F.lit(times).cast("decimal(3,0)")
-    return top / F.nullif(den, F.lit(0)).cast("decimal(18,0)")
+    return top / F.nullif(den, F.lit(0)).cast("decimal(20,0)")
 
 
 def percentage(part: Column, whole: Column) -> Column:

@@ -101,14 +101,16 @@ def by_delay_bucket(star: Star) -> DataFrame:
     known = star.facts().where(F.col("delay_days").isNotNull())
     g = roll_up(known, ["shipments", "cost", "costed"],
                 at={"delay_bucket": labels.at_most("delay_days", labels.DELAY_BUCKETS)})
-    return _most_first(g, "delay_bucket", m.total_shipments(), m.average_cost().alias("avg_cost_in_bucket"))
+    return _most_first(g, "delay_bucket", m.total_shipments(),
+                       m.average_cost().alias("avg_cost_in_bucket"))
 
 
 def tier_cost(star: Star) -> DataFrame:
     g = roll_up(star.facts("supplier_key"), ["shipments", "cost", "costed"],
                 dimension=star.suppliers, key="supplier_key",
                 by={"contract_tier": unknown("contract_tier")})
-    return g.select("contract_tier", m.total_shipments(), _cost(), _average()).orderBy(F.desc("avg_cost_per_shipment"))
+    return g.select("contract_tier", m.total_shipments(), _cost(), _average()).orderBy(
+        F.desc("avg_cost_per_shipment"))
 
 
 def mode_cost_range(star: Star) -> DataFrame:

@@ -86,23 +86,22 @@ def profile(star: Star, approximate: bool = False) -> DataFrame:
 
 
 def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
-    layout = schema.TABLES[name]
+    fields = list(schema.TABLES[name])
     counted = _sketched(df) if approximate else _counted(df)
 
-    def per_column(values: dict) -> Column:
-        """Look a fact about the column up in a literal map; NULL if it has none."""
-        pairs = ", ".join(f"{key!r}, {value!r}" for key, value in values.items())
-        return F.try_element_at(F.expr(f"map({pairs})"), F.col("column_name"))
+    def fact(values: list) -> Column:
+        """A fact about the column, by its position."""
+        texts = ", ".join("null" if v is None else repr(v) for v in values)
+        return F.element_at(F.expr(f"array({texts})"), F.col("ordinal_position"))
 
-    fields = list(layout)
-    widths = {f.name: f.metadata["max_length"] for f in fields if "max_length" in f.metadata}
+    widths = [f.metadata.get("max_length") for f in fields]
     return counted.select(
         F.lit(name).alias("table_name"),
-        per_column({f.name: i + 1 for i, f in enumerate(fields)}).alias("ordinal_position"),
-        "column_name",
-        per_column({f.name: f.dataType.simpleString() for f in fields}).alias("data_type"),
+        "ordinal_position",
+        fact([f.name for f in fields]).alias("column_name"),
+        fact([f.dataType.simpleString() for f in fields]).alias("data_type"),
         F.lit("YES").alias("is_nullable"),
-        per_column(widths).alias("character_maximum_length"),
+        fact(widths).cast("int").alias("character_maximum_length"),
         "n_null", "n_blank", "n_distinct",
     )
 
@@ -110,20 +109,22 @@ def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
 def _counted(df: DataFrame) -> DataFrame:
     """Exact counts in one scan.
 
-    Rows become (column, value) pairs that are counted on the map side before
-    the shuffle, so frequent values travel once per task and only the values
-    of near-unique columns travel in full.
+    Rows become (column position, value) pairs that are counted on the map side
+    before the shuffle, so frequent values travel once per task and only the
+    values of near-unique columns travel in full.
     """
-    texts = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-    pairs = texts.unpivot([], df.columns, "column_name", "value")
-    values = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = ", ".join(f"{i}, cast({c} as string)" for i, c in enumerate(df.columns, 1))
+    values = (
+        df.select(F.expr(f"stack({len(df.columns)}, {pairs}) as (ordinal_position, value)"))
+        .groupBy("ordinal_position", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
     absent = F.col("value").isNull()
     empty = F.trim("value") == ""
 
     def rows_where(test: Column) -> Column:
         return F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
 
-    return values.groupBy("column_name").agg(
+    return values.groupBy("ordinal_position").agg(
         rows_where(absent).alias("n_null"),
         rows_where(empty).alias("n_blank"),
         F.count("value").alias("n_distinct"),
@@ -134,11 +135,11 @@ def _sketched(df: DataFrame) -> DataFrame:
     """Same columns with HyperLogLog distinct counts: one row per task shuffled."""
     figures = df.agg(*[
         F.struct(
-            F.lit(c).alias("column_name"),
+            F.lit(i).alias("ordinal_position"),
             F.count_if(F.col(c).isNull()).alias("n_null"),
             F.count_if(F.trim(F.col(c).cast("string")) == "").alias("n_blank"),
             F.approx_count_distinct(c).alias("n_distinct"),
         ).alias(c)
-        for c in df.columns
+        for i, c in enumerate(df.columns, 1)
     ])
     return figures.select(F.inline(F.array(*[F.col(c) for c in df.columns])))

@@ -44,7 +44,8 @@ def by_year_and_month(star: Star) -> DataFrame:
     return _over_time(
         star, {"shipment_year": _year(), "shipment_month": F.month("order_date")},
         ["shipments", "late", "cost", "costed", "late_days"],
-        m.total_shipments(), m.delayed_shipments(), _rate(), _cost(), _average(), m.average_delay().alias("avg_delay_days_when_late"))
+        m.total_shipments(), m.delayed_shipments(), _rate(), _cost(), _average(),
+        m.average_delay().alias("avg_delay_days_when_late"))
 
 
 def by_month(star: Star) -> DataFrame:
@@ -57,7 +58,8 @@ def by_month_label(star: Star) -> DataFrame:
     # one label per month, not per shipment: formatting follows the aggregation
     g = roll_up(dated(star.facts()), ["shipments", "late", "cost"], at={"month": _month()})
     return g.select(
-        F.date_format("month", "yyyy-MMM").alias("shipment_month"), m.total_shipments(), m.delayed_shipments(), _rate(), _cost(),
+        F.date_format("month", "yyyy-MMM").alias("shipment_month"),
+        m.total_shipments(), m.delayed_shipments(), _rate(), _cost(),
     ).orderBy("shipment_month")
 
 

@@ -75,3 +75,6 @@ def test_large_sums_stay_exact(spark):
     got = values(spark, rows, "c bigint, n bigint", x.from_cents(F.col("c")),
                  x.average_from_cents(F.col("c"), F.col("n")))
     assert got == [(Decimal("90000000000000000.03"), Decimal("45000000000000000.02"))]
+    rows = [(4_500_000_000_000_000_000, 9_000_000_000_000_000_000)]
+    got = values(spark, rows, "a bigint, b bigint", x.percentage(F.col("a"), F.col("b")))
+    assert got == [(Decimal("50.00"),)]

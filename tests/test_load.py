@@ -11,7 +11,7 @@ from lanewise.operators.clean import clean_carriers, clean_products, clean_route
 from lanewise.sources import delimited
 from lanewise.sources.star import from_tables, read_table
 
-HEADER = "carrier_key,carrier_id,carrier_name,transport_mode,on_time_rate,avg_cost_per_km,coverage_region,status"
+HEADER = ",".join(schema.REF_CARRIERS.fieldNames())
 
 
 def write(path, *lines):
@@ -22,7 +22,8 @@ def write(path, *lines):
 def test_blank_fields(spark, tmp_path):
     path = write(tmp_path / "c.csv", "1,C-1, ,SEA, ,,EU, ", "2,C-2,,road,91.5,0.4109,,Active")
     got = [tuple(r) for r in delimited.load(spark, "ref_carriers", path).rows.collect()]
-    assert [(r[2], r[3], r[6], r[7]) for r in got] == [(" ", "SEA", "EU", " "), (None, "road", None, "Active")]
+    assert [(r[2], r[3], r[6], r[7]) for r in got] == [
+        (" ", "SEA", "EU", " "), (None, "road", None, "Active")]
     assert [str(r[4]) for r in got] == ["None", "91.50"]
     assert [str(r[5]) for r in got] == ["None", "0.4109"]
 
