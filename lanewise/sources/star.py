@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -79,9 +80,12 @@ def from_tables(tables: dict[str, DataFrame]) -> Star:
 
 
 def write_star(star: Star, root: str) -> None:
-    """Store all six tables as Parquet, replacing earlier content."""
-    for name in schema.TABLES:
-        write_table(star.table(name), name, root)
+    """Store all six tables as Parquet, replacing earlier content.
+
+    The tables are independent, so their jobs share the cluster.
+    """
+    with ThreadPoolExecutor(len(schema.TABLES)) as pool:
+        list(pool.map(lambda name: write_table(star.table(name), name, root), schema.TABLES))
 
 
 def write_table(df: DataFrame, name: str, root: str) -> None:
