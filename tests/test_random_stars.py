@@ -1,5 +1,6 @@
 """All analyses on random dirty stars against the SQL twins."""
 
+import os
 from functools import partial
 
 import duckdb
@@ -20,7 +21,10 @@ CLEAN = {
 }
 
 
-@pytest.fixture(scope="module", params=[7])
+SEEDS = [int(seed) for seed in os.environ.get("TEST_SEEDS", "7").split(",")]
+
+
+@pytest.fixture(scope="module", params=SEEDS)
 def made(spark, request, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("random"))
     raw = star(spark, tables(request.param))
