@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from lanewise.plans.frozen import named_folder
+
 # Adaptive execution splits skewed join partitions and coalesces small ones.
 # ANSI mode turns an overflow into an error instead of a wrong figure.
 SETTINGS = {
@@ -32,3 +37,14 @@ def local(cores: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def with_folder(spark: SparkSession) -> SparkSession:
+    """A session that has a folder for intermediate tables.
+
+    Only a single-process session (``local``, ``local[n]``) without one gets a
+    temporary folder of this machine; any cluster has to name its own.
+    """
+    if not named_folder(spark) and re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
+    return spark

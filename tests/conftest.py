@@ -6,14 +6,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from lanewise.session import local  # noqa: E402
+from lanewise.session import local, with_folder  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local(4)
+    session = with_folder(local(4))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from parity import sql
 from parity.compare import connect, difference
 from plans import executed, largest_method
 
-QUERIES = entry.queries()
-TWINS = entry.oracle_sql()
+TWINS = sql.twins()
+QUERIES = {name: q for name, q in entry.queries().items()
+           if name != "pipeline" and not name.startswith("op")}
 
 # HotSpot leaves methods above this size in its interpreter
 JIT_LIMIT = 8000

@@ -1,11 +1,14 @@
 """Stored shipments with a hot month, and the folder for intermediate results."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lanewise.plans.frozen import fresh_path, shared_folder
+from lanewise.session import with_folder
 from lanewise.sources.star import read_table, write_table
 
 
@@ -40,7 +43,27 @@ def test_cluster_has_to_name_the_folder():
     assert shared_folder(cluster("hdfs:///shared/")) == "hdfs:///shared/"
 
 
-def test_paths_are_fresh():
-    spark = cluster("hdfs:///shared/")
+def test_paths_are_fresh(spark):
     first, second = fresh_path(spark, "star"), fresh_path(spark, "star")
-    assert first != second and first.startswith("hdfs:///shared/star-")
+    assert first != second and first.startswith(shared_folder(spark))
+
+
+def test_repeated_stores_add_no_folders(spark, stars, sf_dir):
+    queries = entry.queries()
+    parent = Path(fresh_path(spark, "x").removeprefix("file:")).parent
+    counts = []
+    for _ in range(2):
+        for name in ("load_shipments", "load_rejects", "publish_reports"):
+            queries[name](spark, sf_dir).count()
+        counts.append(len(list(parent.iterdir())))
+    assert counts[0] == counts[1]
+
+
+def test_only_one_process_sessions_get_a_folder_of_their_own():
+    named = []
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077", "local[2]", "local"):
+        made = cluster(None)
+        made.sparkContext.master = master
+        made.sparkContext.setCheckpointDir = lambda folder, master=master: named.append(master)
+        with_folder(made)
+    assert named == ["local[2]", "local"]
