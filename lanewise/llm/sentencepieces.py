@@ -3,7 +3,7 @@
 A text is cut before every run of spaces that follows another character; no
 piece of such a vocabulary reaches across that place, so the parts are encoded
 one by one and a part met before is looked up.  A new part goes through the
-agenda: all adjacent symbol pairs that form a piece wait in a heap, best score
+agenda (first cut again between characters that no piece has side by side): all adjacent symbol pairs that form a piece wait in a heap, best score
 first and leftmost among equals; taking one joins its symbols and puts up the
 new neighbouring pairs; pairs whose symbols have changed are passed over.  The
 new parts of an Arrow batch are encoded by the sentencepiece library as well,
@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
-KEPT_PARTS = 400_000  # remembered by a worker; then it starts anew
+KEPT_PARTS = 800_000  # remembered by a worker; then it starts anew
+SHORT = 48
+_NONE = float("-inf")
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -46,6 +48,7 @@ class Codec:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.ids[piece], self.scores[piece] = i, lib.get_score(i)
+        self.joined = {p[i: i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids):
             raise ValueError("pieces of this vocabulary reach across the start of a word")
         if lib.encode("A  b ", out_type=str) != lib.encode(" ".join(["A", "", "b", ""]), out_type=str):
@@ -54,26 +57,46 @@ class Codec:
             raise ValueError("this model has no byte fallback")
 
     def agenda(self, part: str) -> tuple[int, ...]:
-        """The ids of a part by merging the best pair first."""
-        if part in self.ids and len(part) == 1:
-            return (self.ids[part],)
-        scores, symbols = self.scores, list(part)
-        n = len(symbols)
+        """The ids of a part by joining the best pair first."""
+        symbols = list(part)
+        symbols = self._by_list(symbols) if len(symbols) <= SHORT else self._by_heap(symbols)
+        ids, out = self.ids, []
+        for symbol in symbols:
+            known = ids.get(symbol)
+            if known is None:
+                out += [self.bytes[b] for b in symbol.encode()]
+            else:
+                out.append(known)
+        return tuple(out)
+
+    def _by_list(self, symbols: list[str]) -> list[str]:
+        """The agenda as a list in text order: for a few pairs quicker than a heap."""
+        score = self.scores.get
+        waiting = [score(a + b, _NONE) for a, b in zip(symbols, symbols[1:])]
+        while waiting:
+            best = max(waiting)
+            if best == _NONE:
+                break
+            i = waiting.index(best)
+            symbols[i: i + 2] = [symbols[i] + symbols[i + 1]]
+            del waiting[i]
+            if i:
+                waiting[i - 1] = score(symbols[i - 1] + symbols[i], _NONE)
+            if i < len(waiting):
+                waiting[i] = score(symbols[i] + symbols[i + 1], _NONE)
+        return symbols
+
+    def _by_heap(self, symbols: list[str]) -> list[str]:
+        scores, n = self.scores, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in scores:
-                heap.append((-scores[pair], i, pair))
+        pairs = (a + b for a, b in zip(symbols, symbols[1:]))
+        heap = [(-scores[p], i, p) for i, p in enumerate(pairs) if p in scores]
         heapify(heap)
         while heap:
             _, i, pair = heappop(heap)
-            left = symbols[i]
-            if not left:
-                continue
             j = after[i]
-            if j >= n or left + symbols[j] != pair or len(left) >= len(pair):
-                continue
+            if not symbols[i] or j >= n or symbols[i] + symbols[j] != pair:
+                continue  # one of its symbols was joined before
             symbols[i], symbols[j] = pair, ""
             after[i] = k = after[j]
             if k < n:
@@ -86,25 +109,28 @@ class Codec:
                 longer = symbols[h] + pair
                 if longer in scores:
                     heappush(heap, (-scores[longer], h, longer))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol:
-                known = self.ids.get(symbol)
-                if known is None:
-                    out += [self.bytes[b] for b in symbol.encode()]
-                else:
-                    out.append(known)
-        return tuple(out)
+        return [s for s in symbols if s]
+
+    def cut(self, part: str) -> list[str]:
+        """The part cut between characters that stand side by side in no piece."""
+        joined = self.joined
+        at = [i for i in range(1, len(part)) if part[i - 1: i + 1] not in joined]
+        return [part[a:b] for a, b in zip([0, *at], [*at, len(part)])] if at else [part]
+
+    def _known(self, part: str) -> tuple[int, ...]:
+        ids = self.seen.get(part)
+        if ids is None:
+            ids = self.seen[part] = self.agenda(part)
+        return ids
 
     def learn(self, parts: set[str]) -> None:
         """Encode new parts and check them against the library."""
-        if len(self.seen) > KEPT_PARTS:
-            self.seen.clear()
-        new = [p for p in parts if p not in self.seen]
+        new = list(parts)
         # the library puts a space before a text by itself
         theirs = iter(self.library.encode([p[1:] for p in new if p[0] == SPACE], num_threads=1))
         for part in new:
-            ids = self.agenda(part)
+            cut = self.cut(part)
+            ids = self.agenda(part) if len(cut) == 1 else sum((self._known(c) for c in cut), ())
             if part[0] == SPACE and list(ids) != next(theirs) and part != SPACE:
                 raise ValueError(f"not as the library encodes it: {part!r}")
             self.seen[part] = ids
@@ -112,10 +138,9 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text with the end id last."""
         cut = [_PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(set().union(*cut) - self.seen.keys() if cut else set())
-        missing = {p for parts in cut for p in parts if p not in self.seen}
-        if missing:  # the memory was emptied meanwhile
-            self.learn(missing)
+        if len(self.seen) > KEPT_PARTS:
+            self.seen.clear()
+        self.learn(set().union(*cut) - self.seen.keys())
         seen, end = self.seen, [self.end]
         return [[i for p in parts for i in seen[p]] + end for parts in cut]
 
