@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import leaks, licenses, sentencepieces, sharding, toxicity
+from lanewise.llm import (
+    interpolation, leaks, licenses, repeats, sentencepieces, sharding, toxicity,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,10 @@ def op5_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
 
+def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(_read(spark, sf_dir, "documents"))
 
@@ -32,7 +38,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(_read(spark, sf_dir, "documents")).drop("kept", "text_hash")
+
+
 QUERIES = {f.__name__: f for f in (
-    op4_toxicity, op5_histogram_shards, op7_sentencepiece, op8_benchmark_leaks, op9_license_scan)}
+    op4_toxicity, op5_histogram_shards, op6_interpolated_lm, op7_sentencepiece, op8_benchmark_leaks,
+    op9_license_scan, op10_repeated_passages)}
 
 ORACLE_SQL: dict[str, str] = {}

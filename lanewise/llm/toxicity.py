@@ -49,7 +49,7 @@ _TRIPLE = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[0-9@$!|+(€£]|(?<=[a-z])[.\-_*~](?=[a-z0-9][.\-_*~])")
 _BASE = 27
-_SUBSTITUTE, _DROP, _REPEAT, _BREAK = math.log(0.2), math.log(0.3), math.log(0.3), math.log(0.001)
+_SUBSTITUTE, _DROP, _REPEAT, _BREAK = math.log(0.2), math.log(0.3), math.log(0.3), math.log(1e-5)
 _LONG = 48
 
 # A-Z and a-z to 1..26, everything else to 0, the boundary
