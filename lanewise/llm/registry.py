@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanewise.llm import (
-    interpolation, leaks, licenses, repeats, sentencepieces, sharding, toxicity,
+    interpolation, leaks, licenses, neardups, repeats, sentencepieces, sharding, toxicity,
 )
 
 
@@ -13,6 +13,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardups.classes(_read(spark, sf_dir, "documents"), words=4, numerator=80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -43,7 +48,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_toxicity, op5_histogram_shards, op6_interpolated_lm, op7_sentencepiece, op8_benchmark_leaks,
+    op1_near_duplicates, op4_toxicity, op5_histogram_shards, op6_interpolated_lm, op7_sentencepiece, op8_benchmark_leaks,
     op9_license_scan, op10_repeated_passages)}
 
 ORACLE_SQL: dict[str, str] = {}
