@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanewise.llm import (
-    interpolation, leaks, licenses, neardups, repeats, sentencepieces, sharding, toxicity,
+    interpolation, leaks, licenses, neardups, packing, repeats, sentencepieces,
+    sharding, topk, toxicity,
 )
 
 
@@ -18,6 +19,15 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(_read(spark, sf_dir, "documents")))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -48,7 +58,23 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op4_toxicity, op5_histogram_shards, op6_interpolated_lm, op7_sentencepiece, op8_benchmark_leaks,
-    op9_license_scan, op10_repeated_passages)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op1_near_duplicates, op2_packed_ids, op3_exact_top_k, op4_toxicity, op5_histogram_shards,
+    op6_interpolated_lm, op7_sentencepiece, op8_benchmark_leaks, op9_license_scan, op10_repeated_passages)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as y
+            from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.y, c.y), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.y) = len(c.y)
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score
+        from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        where rank <= 10
+    """,
+}
