@@ -20,6 +20,14 @@ def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), utf8(F.col(text)).alias("text"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: Column) -> Column:
     return text.cast("string").cast("binary")
 

@@ -32,7 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lanewise.llm.arrays import chunks, documents, flat, pack, spans_of, unpack
+from lanewise.llm.arrays import chunks, documents, flat, pack, spans_of, unpack, unused
 from lanewise.llm.exchange import PARTS, grouped, mapped, numbered
 from lanewise.llm.leaks import grams
 from lanewise.plans.frozen import written
@@ -59,13 +59,14 @@ def words_at(data: np.ndarray) -> np.ndarray:
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places ordered by the next ``depth`` bytes at least, and each place's group number.
 
-    Past the end counts as zero bytes for the first 8 and as smallest later on.
+    The end of the data is smaller than any byte.
     """
     n = len(data)
-    key = words_at(data)
-    order = np.argsort(key, kind="stable")
+    key, room = words_at(data), np.full(n, 8, np.uint8)
+    room[max(0, n - 8):] = np.arange(min(n, 8), 0, -1)
+    order = np.lexsort((room, key))
     heads = np.ones(n, bool)
-    heads[1:] = key[order[1:]] != key[order[:-1]]
+    heads[1:] = (key[order[1:]] != key[order[:-1]]) | (room[order[1:]] != room[order[:-1]])
     group = np.empty(n, np.int64)
     group[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     h = 8
@@ -420,12 +421,12 @@ def cut(df: DataFrame) -> DataFrame:
     A character that loses some of its bytes goes as a whole.  ``n_chars``, where
     there is one, is counted anew.
     """
-    names = df.columns
+    names, own_hash = df.columns, unused(df.columns, "_hash")
 
     def mark(batches):
         place = names.index("text")
         for batch in batches:
-            yield batch.append_column("_hash", pa.array([
+            yield batch.append_column(own_hash, pa.array([
                 xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63)
                 for t in batch.column(place).to_pylist()], pa.int64()))
 
@@ -440,12 +441,13 @@ def cut(df: DataFrame) -> DataFrame:
             yield batch.drop_columns(["kept"]).append_column("_kept", pa.array(kept, pa.string()))
 
     changed = changed.mapInArrow(text, "_doc bigint, _of bigint, _kept string")
-    layout = T.StructType([*df.schema, T.StructField("_hash", T.LongType())])
+    layout = T.StructType([*df.schema, T.StructField(own_hash, T.LongType())])
     marked = df.mapInArrow(mark, layout)
     joined = marked.join(changed, (marked["doc_id"].cast("bigint") == changed["_doc"])
-                         & (marked["_hash"] == changed["_of"]), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+                         & (marked[own_hash] == changed["_of"]), "left")
+    kept = changed["_kept"]
+    new = {"text": F.coalesce(kept, marked["text"])}
     if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(
-            df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(kept.isNotNull(), F.char_length(kept).cast(
+            df.schema["n_chars"].dataType)).otherwise(marked["n_chars"])
     return joined.select(*[new[n].alias(n) if n in new else marked[n] for n in names])

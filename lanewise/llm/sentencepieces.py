@@ -21,7 +21,9 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from lanewise.llm.arrays import unused
 
 SPACE = "▁"
 KEPT_PARTS = 800_000  # remembered by a worker; then it starts anew
@@ -159,45 +161,42 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], characters: int):
+def _slices(batches: Iterator[pa.RecordBatch], text: str, characters: int = 4_000_000):
+    """Slices of whole rows with their texts; null counts as empty."""
     for batch in batches:
-        rows, size, start = batch.column("text").to_pylist(), 0, 0
+        rows, size, start = [r or "" for r in batch.column(text).to_pylist()], 0, 0
         for i, row in enumerate(rows):
-            if size and size + len(row or "") > characters:
+            if size and size + len(row) > characters:
                 yield batch.slice(start, i - start), rows[start:i]
                 start, size = i, 0
-            size += len(row or "")
+            size += len(row)
         if start < len(rows):
             yield batch.slice(start), rows[start:]
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids",
            decoded: str | None = None) -> DataFrame:
-    """All columns and the ids of ``text``; with ``decoded`` also what the ids give back."""
+    """All columns and the ids of ``text``; with ``decoded`` also what the ids give back.
+
+    Columns that had these names before are replaced.
+    """
     path = path or model_path()
-    added = f"{ids} array<int>" + (f", {decoded} string" if decoded else "")
-    layout = df.drop(ids, *([decoded] if decoded else []))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.schema), added])
+    kept = df.drop(ids, *([decoded] if decoded else []))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
 
     def run(batches):
         own = codec(path)
-        for batch, rows in _slices(_named(batches, text), 4_000_000):
-            made = own.encode([r or "" for r in rows])
-            held = batch.drop_columns(["text"]) if text != "text" else batch
-            columns = [*held.columns, pa.array(made, pa.list_(pa.int32()))]
-            names = [*held.schema.names, ids]
+        for batch, rows in _slices(batches, text):
+            made = own.encode(rows)
+            columns = [*batch.columns, pa.array(made, pa.list_(pa.int32()))]
             if decoded:
                 columns.append(pa.array(own.decode(made), pa.string()))
-                names.append(decoded)
+            names = [*batch.schema.names, ids, *([decoded] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return layout.mapInArrow(run, schema)
-
-
-def _named(batches, text):
-    """Batches whose text can be found under one name."""
-    for batch in batches:
-        yield batch if text == "text" else batch.append_column("text", batch.column(text))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, *added]))
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -206,8 +205,8 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch, rows in _slices(batches, 4_000_000):
-            ids = own.encode([r or "" for r in rows])
+        for batch, rows in _slices(batches, "text"):
+            ids = own.encode(rows)
             texts = own.decode(ids)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
@@ -222,11 +221,7 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows whose text comes back as it went in, with ids and decoded text.
-
-    Text that the vocabulary cannot give back whole (none, with byte fallback
-    and no normalisation, but for spaces at the start that decoding eats) is
-    replaced by its decoded form.
-    """
-    return encode(df, path, decoded="_back").withColumn(
-        "text", F.when(F.col("text").isNotNull(), F.col("_back"))).drop("_back")
+    """All rows with their ids; the text is what the ids decode to (null stays null)."""
+    back = unused(df.columns, "_back")
+    return encode(df, path, decoded=back).withColumn(
+        "text", F.when(F.col("text").isNotNull(), F.col(back))).drop(back)
