@@ -90,13 +90,17 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, cap: int) -> np.ndarray:
     """Bytes that each suffix has in common with the one before it in order, up to ``cap``.
 
     Kasai's lemma: a suffix has at least as many as the suffix one place to its
-    left, less one.  Eight interleaved runs of places use it side by side.
+    left, less one.  Eight interleaved runs of places use it side by side.  It
+    needs the full order; the first suffix of a group still tied starts from 0.
     """
     n = len(data)
+    start = np.flatnonzero(group[order] == np.arange(n))
+    tied_first = np.zeros(n, bool)
+    tied_first[order[start[np.diff(np.append(start, n)) > 1]]] = True
     words, before = words_at(data), np.full(n, -1)
     before[order[1:]] = order[:-1]
     out, known = np.zeros(n, np.int64), None
@@ -104,7 +108,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray
         here = np.arange(shift, n, 8)
         least = np.zeros(len(here), np.int64) if known is None else np.maximum(known[: len(here)] - 1, 0)
         live = np.flatnonzero(before[here] >= 0)
-        least[before[here] < 0] = 0
+        least[(before[here] < 0) | tied_first[here]] = 0
         while len(live):
             a, b, l = here[live], before[here[live]], least[live]
             room = np.minimum(n - np.maximum(a, b) - l, cap - l)
@@ -257,8 +261,8 @@ class Strings:
 
     def merge(self, text: np.ndarray, starts: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Take in the strings of a piece; gives the number of the string at each start."""
-        order, _ = suffix_array(text, LENGTH)
-        edge = common_prefixes(text, order, LENGTH) < LENGTH
+        order, group = suffix_array(text, LENGTH)
+        edge = common_prefixes(text, order, group, LENGTH) < LENGTH
         class_ = np.empty(len(text), np.int64)
         class_[order] = np.cumsum(edge) - 1
         used, inside = np.unique(class_[starts], return_inverse=True)

@@ -53,10 +53,10 @@ def test_suffix_array(text):
     r = random.Random(1)
     for data in (text, bytes(r.choice(b"ab") for _ in range(700))):
         a = np.frombuffer(data, np.uint8)
-        order, _ = repeats.suffix_array(a, 50)
+        order, group = repeats.suffix_array(a, 50)
         prefixes = [data[i:i + 50] for i in order]
         assert sorted(order.tolist()) == list(range(len(data))) and prefixes == sorted(prefixes)
-        common = repeats.common_prefixes(a, order, 50)
+        common = repeats.common_prefixes(a, order, group, 50)
         for k in range(1, len(order)):
             x, y = prefixes[k - 1], prefixes[k]
             same = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
