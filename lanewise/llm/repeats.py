@@ -95,12 +95,16 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, cap:
 
     Kasai's lemma: a suffix has at least as many as the suffix one place to its
     left, less one.  Eight interleaved runs of places use it side by side.  It
-    needs the full order; the first suffix of a group still tied starts from 0.
+    needs the full order: in a group still tied, which has ``cap`` bytes in
+    common, the first suffix and the right neighbours of the others start from 0.
     """
     n = len(data)
-    start = np.flatnonzero(group[order] == np.arange(n))
-    tied_first = np.zeros(n, bool)
-    tied_first[order[start[np.diff(np.append(start, n)) > 1]]] = True
+    first = group[order] == np.arange(n)
+    tied = np.zeros(n, bool)
+    tied[order[~first]] = True
+    anew = np.zeros(n, bool)
+    anew[order[first & np.append(~first[1:], False)]] = True
+    anew[1:] |= tied[:-1]
     words, before = words_at(data), np.full(n, -1)
     before[order[1:]] = order[:-1]
     out, known = np.zeros(n, np.int64), None
@@ -108,7 +112,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, cap:
         here = np.arange(shift, n, 8)
         least = np.zeros(len(here), np.int64) if known is None else np.maximum(known[: len(here)] - 1, 0)
         live = np.flatnonzero(before[here] >= 0)
-        least[(before[here] < 0) | tied_first[here]] = 0
+        least[(before[here] < 0) | anew[here]] = 0
+        least[tied[here]] = cap
         while len(live):
             a, b, l = here[live], before[here[live]], least[live]
             room = np.minimum(n - np.maximum(a, b) - l, cap - l)
