@@ -14,6 +14,7 @@ from lanewise.functions import measures as m
 from lanewise.functions.exprs import unknown, utilisation
 from lanewise.operators.scope import costed, dated
 from lanewise.operators.trend import direction
+from lanewise.plans.ranking import number_rows
 from lanewise.plans.rollup import roll_up
 from lanewise.sources.star import Star
 
@@ -78,6 +79,35 @@ def region_cost(star: Star) -> DataFrame:
     ).orderBy("route_region", "shipment_year")
 
 
+def _against_numbered_history(
+    df: DataFrame, entity: str, value: str, average: str, previous: str,
+    labels: tuple[str, str], order: list[str],
+) -> DataFrame:
+    """As :func:`_against_history` for an entity that may hold any number of rows.
+
+    No task has to hold all rows of an entity: the average is an aggregation
+    with a join, the previous row comes from a range sort with row numbers.
+    The sorted rows are written down while the frame is built.
+    """
+    sorted_ = [F.asc_nulls_first(entity), F.asc("shipment_year"), *[F.asc_nulls_first(c) for c in order]]
+    laid = number_rows(df, sorted_, "_place")
+    before = laid.select((F.col("_place") + 1).alias("_next"), F.col(entity).alias("_entity"),
+                         F.col(value).alias("_before"))
+    means = df.groupBy(F.col(entity).alias("_of")).agg(F.avg(value).alias(average))
+    off_average = F.col(value) - F.col(average)
+    return (
+        laid.join(before, (F.col("_place") == F.col("_next")) & F.col(entity).eqNullSafe(F.col("_entity")), "left")
+        .withColumn(previous, F.col("_before"))
+        .join(means, F.col(entity).eqNullSafe(F.col("_of")), "left")
+        .withColumn("diff_from_avg", F.round(off_average, 2))
+        .withColumn("avg_change", F.when(off_average > 0, F.lit("Above Avg"))
+                    .when(off_average < 0, F.lit("Below Avg")).otherwise(F.lit("Avg")))
+        .withColumn("diff_py", F.col(value) - F.col(previous))
+        .withColumn("py_change", direction("diff_py", previous, *labels))
+        .drop("_place", "_next", "_entity", "_before", "_of")
+    )
+
+
 def warehouse_delay(star: Star) -> DataFrame:
     g = roll_up(dated(star.facts("warehouse_key")), ["shipments", "late"], at=_by_year(),
                 dimension=star.warehouses, key="warehouse_key",
@@ -86,7 +116,8 @@ def warehouse_delay(star: Star) -> DataFrame:
                     "current_load": F.col("current_load"), "capacity": F.col("capacity")})
     rates = g.withColumn("utilisation_pct", utilisation("current_load", "capacity")).withColumn(
         "current_delay_rate", m.delay_rate()).drop("shipments", "late")
-    return _against_history(
+    # all warehouses without a name share one
+    return _against_numbered_history(
         rates, "warehouse_location", "current_delay_rate", "avg_delay_rate", "py_delay_rate",
         ("Worsening", "Improving"), ["warehouse_region", "current_load", "capacity"],
     ).drop("current_load", "capacity").orderBy("warehouse_location", "shipment_year")

@@ -107,28 +107,25 @@ def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
 
 
 def _counted(df: DataFrame) -> DataFrame:
-    """Exact counts in one scan.
+    """Exact counts: one aggregation for each column, over that column only.
 
-    Rows become (column position, value) pairs that are counted on the map side
-    before the shuffle, so frequent values travel once per task and only the
-    values of near-unique columns travel in full.
+    Values keep their type.  They are counted on the map side before the
+    shuffle, so frequent values travel once per task.
     """
-    pairs = ", ".join(f"{i}, cast({c} as string)" for i, c in enumerate(df.columns, 1))
-    values = (
-        df.select(F.expr(f"stack({len(df.columns)}, {pairs}) as (ordinal_position, value)"))
-        .groupBy("ordinal_position", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    absent = F.col("value").isNull()
-    empty = F.trim("value") == ""
+    def one(place: int, column: str) -> DataFrame:
+        value = F.col(column)
+        counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        absent = F.col("value").isNull()
+        empty = F.trim(F.col("value").cast("string")) == ""
 
-    def rows_where(test: Column) -> Column:
-        return F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
+        def rows_where(test: Column) -> Column:
+            return F.coalesce(F.sum(F.when(test, F.col("n")).otherwise(F.lit(0))), F.lit(0))
 
-    return values.groupBy("ordinal_position").agg(
-        rows_where(absent).alias("n_null"),
-        rows_where(empty).alias("n_blank"),
-        F.count("value").alias("n_distinct"),
-    )
+        return counts.agg(
+            F.lit(place).alias("ordinal_position"), rows_where(absent).alias("n_null"),
+            rows_where(empty).alias("n_blank"), F.count("value").alias("n_distinct"))
+
+    return reduce(DataFrame.unionByName, [one(i, c) for i, c in enumerate(df.columns, 1)])
 
 
 def _sketched(df: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lanewise.functions import labels, measures as m
+from lanewise.functions.measures import second_pass
 from lanewise.functions.exprs import month_span, quotient, utilisation, whole_division
 from lanewise.operators.scope import dated, ordered_between
 from lanewise.plans.rollup import DIMENSION_KEY, roll_up
-from lanewise.sources.star import Star
+from lanewise.sources.star import MONTH_FIELD, Star, write_by_month
 
 
 def suppliers(star: Star, as_of: date | Column | None = None) -> DataFrame:
@@ -199,6 +200,11 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
         *[expr.alias(n) for n, expr in own.items() if n in base],
         *[F.col(k).alias(f"_{k}") for k in keys],
     )
+    return _with_dimensions(star, flat, used, base).select(*wanted)
+
+
+def _with_dimensions(star: Star, flat: DataFrame, used: dict, base: set[str]) -> DataFrame:
+    """Rows with the foreign keys ``_<key>``, joined with the used dimensions' columns."""
     for table, (key, named) in used.items():
         rows = star.dimension(table).select(
             F.col(key).alias("_match"), *[value.alias(n) for n, (value, _) in named.items()])
@@ -215,31 +221,65 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
     for name, expr in _combined().items():
         if name in base:
             flat = flat.withColumn(name, expr)
-    return flat.select(*wanted)
+    return flat
+
 
+def publish(star: Star, as_of: date | None = None, root: str | None = None,
+            database: str | None = None) -> None:
+    """Register both reports as views of this session.
 
-def publish(star: Star, as_of: date | None = None, root: str | None = None) -> None:
-    """Register both reports as views; with ``root`` store them as Parquet first."""
+    With ``root`` they are stored first, the shipments by order month in even
+    files, so that a consumer's date filter reads its months only.  With
+    ``database`` too, the stored reports get views by name in that database of
+    the catalogue, where other sessions find them.
+    """
     made = {"report_suppliers": suppliers(star, as_of), "report_shipments": shipments(star)}
     for name, df in made.items():
+        spark = df.sparkSession
         if root:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
-            df = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+            path = f"{root}/{name}"
+            if name == "report_shipments":
+                write_by_month(df, path)
+                df = spark.read.schema(T.StructType([*df.schema, MONTH_FIELD])).parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+                df = spark.read.schema(df.schema).parquet(path)
+            if database:
+                spark.sql(f"create or replace view `{database}`.`{name}` as select * from parquet.`{path}`")
         df.createOrReplaceTempView(name)
 
 
-def drill(star: Star, by: list[str], where: Column | None = None,
-          filtered: list[str] | None = None,
+def drill(star: Star, by: list[str], where: dict[str, object] | None = None,
           period: tuple[date, date] | None = None) -> DataFrame:
     """Group the shipment report by any of its columns, after optional filters.
 
-    ``filtered`` names the report columns that ``where`` reads.
+    ``where`` maps report columns to a value or a list of values to keep.
+    Shipments are aggregated by their own columns and the foreign keys of the
+    dimensions that are used; those rows are joined, filtered and merged.
     """
-    needed = ["shipment_key", "delay_days", "shipment_cost", *by, *(filtered or [])]
-    report = shipments(star, list(dict.fromkeys(needed)), period=period)
-    if where is not None:
-        report = report.where(where)
-    g = roll_up(report, ["shipments", "late", "cost", "late_cost"], at={c: F.col(c) for c in by})
+    kept = {c: v if isinstance(v, (list, tuple, set)) else [v] for c, v in (where or {}).items()}
+    named = {*by, *kept}
+    if missing := named - set(SHIPMENT_REPORT):
+        raise ValueError(f"not in the shipment report: {sorted(missing)}")
+    base = named.union(*[_NEEDS.get(c, []) for c in named])
+    parts = {
+        table: (key, {n: e for n, e in columns.items() if n in base})
+        for table, (key, columns) in _from_dimensions().items()
+    }
+    used = {table: part for table, part in parts.items() if part[1]}
+    keys = [key for key, _ in used.values()]
+    facts = dated(star.facts(*keys))
+    if period:
+        facts = ordered_between(facts, *period)
+    own = {n: e for n, e in _from_shipment(False).items() if n in base}
+    for column in [c for c in kept if c in own]:  # on shipment columns: before anything else
+        facts = facts.where(own[column].isin(*kept.pop(column)))
+    states = ["shipments", "late", "cost", "late_cost"]
+    summed = roll_up(facts, states, at={**own, **{f"_{k}": F.col(k) for k in keys}})
+    flat = _with_dimensions(star, summed, used, base)
+    for column, values in kept.items():
+        flat = flat.where(F.col(column).isin(*values))
+    g = flat.groupBy(*by).agg(*second_pass(states))
     return g.select(
         *by,
         F.col("shipments").alias("total_shipments"),

@@ -64,6 +64,25 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(there, True)
 
 
+def stored_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files below a path and their bytes; nothing there is (0, 0)."""
+    files, there = _hadoop(spark, path)
+    if not files.exists(there):
+        return 0, 0
+    held = files.getContentSummary(there)
+    return held.getFileCount(), held.getLength()
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Put a written folder in the place of another one."""
+    files, there = _hadoop(spark, path)
+    _, made = _hadoop(spark, new)
+    files.delete(there, True)
+    files.mkdirs(there.getParent())
+    if not files.rename(made, there):
+        raise OSError(f"{new} can't be moved to {path}")
+
+
 def renewed_path(spark: SparkSession, name: str) -> str:
     """A new path that replaces the one given out for this name before.
 

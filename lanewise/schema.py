@@ -1,7 +1,8 @@
 """Column layout of the six tables.
 
 Keys are BIGINT so that they keep growing with the data.  The declared text
-width is kept as field metadata; it is listed by the profile, not enforced.
+width and range are kept as field metadata; the profile lists the widths, and
+the text load checks both where asked to.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ def _text(name: str, width: int) -> T.StructField:
     return T.StructField(name, T.StringType(), True, {"max_length": width})
 
 
-def _typed(name: str, kind: T.DataType) -> T.StructField:
-    return T.StructField(name, kind, True)
+def _typed(name: str, kind: T.DataType, span: tuple[int, int] | None = None) -> T.StructField:
+    return T.StructField(name, kind, True, {"range": list(span)} if span else None)
 
 
 def _key(name: str) -> T.StructField:
@@ -51,7 +52,7 @@ REF_ROUTES = T.StructType([
     _text("destination", 100),
     _text("region", 50),
     _typed("distance_km", T.IntegerType()),
-    _typed("avg_transit_days", T.ShortType()),
+    _typed("avg_transit_days", T.ShortType(), (0, 255)),
 ])
 
 REF_WAREHOUSES = T.StructType([

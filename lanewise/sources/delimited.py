@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import (
+    Column, DataFrame, Observation, SparkSession, functions as F, types as T,
+)
 
 from lanewise import schema
+from lanewise.plans.frozen import remove, replace
 from lanewise.sources.star import write_table
 
 _LINE = "_line"  # filled by the reader for lines it could not convert in full
+_WHY = "_why"  # the reason of a rejected line
 
 
 @dataclass(frozen=True)
@@ -26,9 +30,19 @@ class Load:
     rejects: DataFrame
 
 
-def load(spark: SparkSession, table: str, path: str | list[str], header: bool = True) -> Load:
+def load(spark: SparkSession, table: str, path: str | list[str], header: bool = True,
+         declared: bool = False) -> Load:
+    """The good lines of a table's text and the rejected ones.
+
+    With ``declared``, texts longer than their declared width and numbers out of
+    their declared range are rejected as well.
+    """
+    lines, reason = _lines(spark, table, path, header, declared)
+    return _parted(table, lines.withColumn(_WHY, reason))
+
+
+def _lines(spark: SparkSession, table: str, path, header: bool, declared: bool):
     layout = schema.TABLES[table]
-    names = layout.fieldNames()
     lines = (
         spark.read.schema(T.StructType([*layout, T.StructField(_LINE, T.StringType())]))
         .option("header", header)
@@ -40,13 +54,33 @@ def load(spark: SparkSession, table: str, path: str | list[str], header: bool =
         .csv(path)
     )
     reason = _reason(layout)
+    return lines, F.coalesce(reason, _out_of_bounds(layout)) if declared else reason
+
+
+def _parted(table: str, marked: DataFrame) -> Load:
+    reason = F.col(_WHY)
+    # a line rejected for its width or range was converted in full
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in schema.TABLES[table].fieldNames()]
+    line = F.coalesce(_LINE, F.concat_ws(",", *fields))
     return Load(
-        rows=lines.where(reason.isNull()).select(*names),
-        rejects=lines.where(reason.isNotNull()).select(
-            F.lit(table).alias("table_name"), F.col(_LINE).alias("line"), reason.alias("reason")),
+        rows=marked.where(reason.isNull()).select(*schema.TABLES[table].fieldNames()),
+        rejects=marked.where(reason.isNotNull()).select(
+            F.lit(table).alias("table_name"), line.alias("line"), reason.alias("reason")),
     )
 
 
+def _out_of_bounds(layout: T.StructType) -> Column:
+    """The first column that breaks its declared width or range."""
+    tests = []
+    for f in layout:
+        width, span = f.metadata.get("max_length"), f.metadata.get("range")
+        if width:
+            tests.append(F.when(F.char_length(f.name) > width, F.lit(f"too long for {f.name}")))
+        if span:
+            tests.append(F.when(~F.col(f.name).between(*span), F.lit(f"out of range for {f.name}")))
+    return F.coalesce(*tests)
+
+
 def _reason(layout: T.StructType) -> Column:
     """Why a line is rejected; NULL for a good line.
 
@@ -69,21 +103,37 @@ def _reason(layout: T.StructType) -> Column:
     )
 
 
-def load_star(spark: SparkSession, paths: dict[str, str], root: str) -> dict[str, str]:
+def load_star(spark: SparkSession, paths: dict[str, str], root: str,
+              declared: bool = False) -> dict[str, str]:
     """Load the named files into stored tables; one outcome per table.
 
-    A table that cannot be loaded is reported and does not stop the others.
-    Rejected lines are stored under ``rejects/<table>``.
+    The text is parsed once: the rejected lines are counted while the rows are
+    written, and only if there are some it is read again for them.  Rows and
+    rejects (under ``rejects/<table>``) take the place of earlier ones together,
+    after both are written.  A table that cannot be loaded is reported, keeps
+    what it had and does not stop the others.
     """
     outcome = {}
     for table, path in paths.items():
+        staged = f"{root}/_staged"
         try:
-            result = load(spark, table, path)
-            write_table(result.rows, table, root)
-            result.rejects.write.mode("overwrite").parquet(f"{root}/rejects/{table}")
+            lines, reason = _lines(spark, table, path, True, declared)
+            seen = Observation()
+            marked = lines.withColumn(_WHY, reason).observe(
+                seen, F.count_if(F.col(_WHY).isNotNull()).alias("rejected"))
+            found = _parted(table, marked)
+            write_table(found.rows, table, staged)
+            rejected = seen.get["rejected"]
+            if rejected:
+                found = load(spark, table, path, declared=declared)
+            rejects = found.rejects if rejected else spark.createDataFrame([], found.rejects.schema)
+            rejects.write.mode("overwrite").parquet(f"{staged}/rejects/{table}")
+            replace(spark, f"{staged}/{table}", f"{root}/{table}")
+            replace(spark, f"{staged}/rejects/{table}", f"{root}/rejects/{table}")
             outcome[table] = "loaded"
         except Exception as error:  # reported per table, the next one is still tried
             outcome[table] = f"failed: {error}"
+        remove(spark, staged)
     return outcome
 
 

@@ -10,29 +10,25 @@ lines, and they are only built when one of these two keys is asked for.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanewise.sources.star import Star
 
-# Nation keys run from 0 to 24: a lane is numbered origin * 25 + destination.
-_NATIONS = 25
-
-
-@lru_cache(maxsize=None)
-def _layout(spark: SparkSession, path: str):
-    return spark.read.parquet(path).schema
+SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
+# A lane is numbered origin * 2^32 + destination: nation keys are 32-bit numbers.
+_LANE = "shiftleft(cast(s_nationkey as bigint), 32) + c_nationkey"
 
-def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    path = f"{root}/{name}.parquet"
-    return spark.read.schema(_layout(spark, path)).parquet(path)
+# A third of the shipments goes with one carrier, one in 31 of the others with a
+# carrier nobody knows, the rest over all customer keys.
+_HOT_CARRIER = 7
+_CARRIER = f"""case when h % 3 = 0 then {_HOT_CARRIER}
+    when u % 31 = 0 then -1 - u % customers else 1 + u % customers end"""
 
 
 def derived_star(spark: SparkSession, root: str) -> Star:
     def source(name: str) -> DataFrame:
-        return _read(spark, root, name)
+        return spark.read.parquet(f"{root}/{name}.parquet")
 
     return Star(
         {
@@ -90,18 +86,28 @@ def _carriers(source) -> DataFrame:
     )
 
 
+def _lanes(source) -> DataFrame:
+    """Order lines with the nation keys of their supplier and of their customer."""
+    orders, customer = source("orders"), source("customer")
+    buyers = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
+    supplier = source("supplier").select("s_suppkey", "s_nationkey")
+    return (
+        source("lineitem")
+        .join(buyers.select("o_orderkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    )
+
+
 def _routes(source) -> DataFrame:
+    """The lanes that shipments have; their pairs are made distinct before any shuffle of them."""
     nation, region = source("nation"), source("region")
-    # every origin carries its possible destination keys to an equi-join
-    start = nation.select(
-        "n_nationkey", "n_regionkey", F.col("n_name").alias("from_name"),
-        F.explode(F.sequence(F.lit(0), F.lit(_NATIONS - 1))).alias("to_key"),
-    )
+    used = _lanes(source).select("s_nationkey", "c_nationkey", F.expr(_LANE).alias("k")).distinct()
+    start = nation.select("n_nationkey", "n_regionkey", F.col("n_name").alias("from_name"))
     end = nation.select(F.col("n_nationkey").alias("to_nation"), F.col("n_name").alias("to_name"))
     return (
-        start.join(end, start["to_key"] == end["to_nation"])
+        used.join(start, used["s_nationkey"] == start["n_nationkey"])
+        .join(end, used["c_nationkey"] == end["to_nation"])
         .join(region, start["n_regionkey"] == region["r_regionkey"], "left")
-        .withColumn("k", F.col("n_nationkey").cast("bigint") * _NATIONS + F.col("to_key"))
         .selectExpr(
             "k as route_key",
             "concat('RTE-', k) as route_id",
@@ -147,22 +153,25 @@ def _products(source) -> DataFrame:
 
 
 def _shipments(source, keys: tuple[str, ...]) -> DataFrame:
-    lines = source("lineitem")
-    extra = []
-    if "warehouse_key" in keys or "route_key" in keys:
+    lines, extra = source("lineitem"), []
+    if "route_key" in keys:
+        lines = _lanes(source)
+        extra.append(f"{_LANE} as route_key")
+    elif "warehouse_key" in keys:
         orders, customer = source("orders"), source("customer")
         buyers = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
         lines = lines.join(buyers.select("o_orderkey", "c_nationkey"),
                            F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    if "warehouse_key" in keys:
         extra.append("cast(c_nationkey as bigint) as warehouse_key")
-    if "route_key" in keys:
-        supplier = source("supplier").select("s_suppkey", "s_nationkey")
-        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-        extra.append("cast(s_nationkey as bigint) * 25 + c_nationkey as route_key")
+    if "carrier_key" in keys:
+        customers = source("customer").agg(F.max("c_custkey")).scalar()
+        lines = lines.withColumn("customers", customers)
+        extra.append(f"{_CARRIER} as carrier_key")
     base = lines.selectExpr(
         "*",
         "(l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber * 3) % 1000 as h",
-        "(l_orderkey * 7 + l_linenumber) % 62 as carrier",
+        "l_orderkey * 7 + l_partkey * 13 + l_linenumber as u",
         "cast(l_shipdate as date) as d0",
     ).selectExpr(
         "*",
@@ -173,7 +182,6 @@ def _shipments(source, keys: tuple[str, ...]) -> DataFrame:
         "l_orderkey * 10 + l_linenumber as shipment_key",
         "concat('SHP-', l_orderkey, '-', l_linenumber) as shipment_id",
         "l_suppkey as supplier_key",
-        "case when carrier >= 60 then -carrier else carrier end as carrier_key",
         "l_partkey as product_key",
         *extra,
         "case when h = 499 then null else d0 end as order_date",

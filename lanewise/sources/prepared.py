@@ -7,16 +7,17 @@ read these tables, with column pruning, pushed filters and no repeated joins.
 
 from __future__ import annotations
 
+import re
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from lanewise.operators.clean import clean_star
-from lanewise.plans.frozen import fresh_path
-from lanewise.sources.star import Star, read_star, read_table, write_star
+from lanewise.plans.frozen import renewed_path, stored_size
+from lanewise.sources.derived import SOURCE_TABLES
+from lanewise.sources.star import Star, read_star, write_star
 
 
 @dataclass(frozen=True)
@@ -25,28 +26,39 @@ class Prepared:
     clean: Star
 
 
-_made: dict[tuple[str, str], tuple[str, Prepared]] = {}
+_made: dict[tuple[str, str], tuple[tuple, str, tuple, Prepared]] = {}
 _lock = threading.Lock()
 
 
 def prepared(spark: SparkSession, source: str, build: Callable[[], Star]) -> Prepared:
-    """The stored stars of a source, written on first use in this session."""
+    """The stored stars of a source, written on first use in this session.
+
+    They are written anew when a file of the source has changed, or when a file
+    of the stored tables is missing.
+    """
     key = (spark.sparkContext.applicationId, source)
     with _lock:
-        if key in _made and _present(spark, _made[key][0]):
-            return _made[key][1]
-        root = fresh_path(spark, "star")
+        now = _fingerprint(spark, source)
+        if key in _made:
+            seen, root, size, stars = _made[key]
+            if seen == now and stored_size(spark, root) == size:
+                return stars
+        root = renewed_path(spark, "star" + re.sub(r"\W+", "-", source))
         write_star(build(), f"{root}/raw")
         raw = read_star(spark, f"{root}/raw")
         write_star(clean_star(raw), f"{root}/clean")
-        _made[key] = (root, Prepared(raw, read_star(spark, f"{root}/clean")))
-        return _made[key][1]
+        stars = Prepared(raw, read_star(spark, f"{root}/clean"))
+        _made[key] = (now, root, stored_size(spark, root), stars)
+        return stars
 
 
-def _present(spark: SparkSession, root: str) -> bool:
-    """Whether the tables are still in the shared folder, by its smallest one."""
-    try:
-        read_table(spark, "ref_warehouses", f"{root}/clean")
-    except AnalysisException:
-        return False
-    return True
+def _fingerprint(spark: SparkSession, source: str) -> tuple:
+    """Count, length and an order-free hash of the source's files; contents are not read."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .load([f"{source}/{table}.parquet" for table in SOURCE_TABLES])
+        .select("path", "modificationTime", "length")
+    )
+    return tuple(files.agg(
+        F.count(F.lit(1)), F.sum("length"),
+        F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first())

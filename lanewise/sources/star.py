@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lanewise import schema
 
 MONTH = "order_month"
+MONTH_FIELD = T.StructField(MONTH, T.DateType())
 
 
 class Star:
@@ -89,15 +90,20 @@ def write_star(star: Star, root: str) -> None:
 
 
 def write_table(df: DataFrame, name: str, root: str) -> None:
-    """Store one table as Parquet; shipments are partitioned by order month.
+    """Store one table as Parquet; shipments are partitioned by order month."""
+    path = f"{root}/{name}"
+    if name != "fact_shipments":
+        df.write.mode("overwrite").parquet(path)
+    else:
+        write_by_month(df, path)
+
+
+def write_by_month(df: DataFrame, path: str) -> None:
+    """Store rows by the month of their order_date.
 
     The rebalance hint lets AQE cut a month with very many shipments into
     several even files and put small months together in one task.
     """
-    path = f"{root}/{name}"
-    if name != "fact_shipments":
-        df.write.mode("overwrite").parquet(path)
-        return
     monthly = df.withColumn(MONTH, F.trunc("order_date", "MM")).hint("rebalance", MONTH)
     monthly.write.mode("overwrite").partitionBy(MONTH).parquet(path)
 
@@ -106,7 +112,7 @@ def read_table(spark: SparkSession, name: str, root: str) -> DataFrame:
     """Read one stored table.  The declared schema avoids a footer scan."""
     layout = schema.TABLES[name]
     if name == "fact_shipments":
-        layout = T.StructType([*layout, T.StructField(MONTH, T.DateType())])
+        layout = T.StructType([*layout, MONTH_FIELD])
     return spark.read.schema(layout).parquet(f"{root}/{name}")
 
 

@@ -65,9 +65,14 @@ select k as route_key, concat('RTE-', cast(k as varchar)) as route_id,
        case when k % 37 = 6 then null else r_name end as region,
        case when k % 19 = 3 then null else cast(300 + k * 97 % 13500 as integer) end as distance_km,
        case when k % 23 = 2 then null else cast(1 + k % 22 as smallint) end as avg_transit_days
-from (select cast(a.n_nationkey as bigint) * 25 + b.n_nationkey as k, a.n_name as from_name,
-             b.n_name as to_name, r_name
-      from nation a cross join nation b left join region on a.n_regionkey = r_regionkey) lanes""",
+from (select distinct cast(s_nationkey as bigint) * 4294967296 + c_nationkey as k,
+             s_nationkey, c_nationkey
+      from lineitem join orders on l_orderkey = o_orderkey
+      join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey) used
+join (select n_nationkey as from_key, n_name as from_name, n_regionkey from nation) a
+  on from_key = s_nationkey
+join (select n_nationkey as to_key, n_name as to_name from nation) b on to_key = c_nationkey
+left join region on n_regionkey = r_regionkey""",
     "ref_warehouses": f"""
 select cast(n_nationkey as bigint) as warehouse_key,
        concat('WH-', cast(n_nationkey as varchar)) as warehouse_id,
@@ -97,8 +102,9 @@ from part""",
 select l_orderkey * 10 + l_linenumber as shipment_key,
        concat('SHP-', cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) as shipment_id,
        l_suppkey as supplier_key,
-       case when carrier >= 60 then -carrier else carrier end as carrier_key,
-       cast(s_nationkey as bigint) * 25 + c_nationkey as route_key,
+       case when h % 3 = 0 then 7 when u % 31 = 0 then -1 - u % customers
+            else 1 + u % customers end as carrier_key,
+       cast(s_nationkey as bigint) * 4294967296 + c_nationkey as route_key,
        cast(c_nationkey as bigint) as warehouse_key,
        l_partkey as product_key,
        case when h = 499 then null else d0 end as order_date,
@@ -118,7 +124,8 @@ from (select *, cast(3 + h % 18 as integer) as win,
              cast(case when h < 290 then 1 + h % 25 else -(h % 4) end as integer) as dl
       from (select *,
                    (l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber * 3) % 1000 as h,
-                   (l_orderkey * 7 + l_linenumber) % 62 as carrier,
+                   l_orderkey * 7 + l_partkey * 13 + l_linenumber as u,
+                   (select max(c_custkey) from customer) as customers,
                    cast(l_shipdate as date) as d0
             from lineitem left join orders on l_orderkey = o_orderkey
             left join customer on o_custkey = c_custkey

@@ -80,3 +80,41 @@ def test_published_dimension_files(spark):
     assert all(r["remaining_issues"] == 0 for r in audit.after(clean).collect())
     assert clean.suppliers.select("country").distinct().count() == 27  # 26 and Unknown
     assert clean.carriers.select("transport_mode").distinct().count() == 5
+
+
+def test_text_is_parsed_once(spark, tmp_path):
+    """The text is read again for rejected lines only if there are some."""
+    plans = []
+    real = delimited.load
+
+    def counted(*args, **kwargs):
+        plans.append(args)
+        return real(*args, **kwargs)
+
+    delimited.load = counted
+    try:
+        good = write(tmp_path / "good.csv", "1,C-1,A,Sea,90,1,EU,Active")
+        bad = write(tmp_path / "bad.csv", "1,C-1,A,Sea,90,1,EU,Active", "2,C-2,B")
+        assert delimited.load_star(spark, {"ref_carriers": good}, str(tmp_path / "a")) == {"ref_carriers": "loaded"}
+        assert not plans  # no second read
+        delimited.load_star(spark, {"ref_carriers": bad}, str(tmp_path / "b"))
+        assert len(plans) == 1
+    finally:
+        delimited.load = real
+    assert spark.read.parquet(str(tmp_path / "a/rejects/ref_carriers")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "b/rejects/ref_carriers")).count() == 1
+    assert not (tmp_path / "a/_staged").exists()
+
+
+def test_declared_widths_and_ranges(spark, tmp_path):
+    long = "x" * 60
+    path = write(tmp_path / "c.csv", f"1,{long},A,Sea,90,1,EU,Active", "2,C-2,A,Sea,90,1,EU,Active")
+    assert delimited.load(spark, "ref_carriers", path).rows.count() == 2
+    load = delimited.load(spark, "ref_carriers", path, declared=True)
+    assert [r["carrier_key"] for r in load.rows.collect()] == [2]
+    assert load.rejects.first()["reason"] == "too long for carrier_id"
+    routes = tmp_path / "r.csv"
+    routes.write_text(",".join(schema.REF_ROUTES.fieldNames()) + "\n1,R,A,B,C,10,300\n2,R,A,B,C,10,255\n")
+    load = delimited.load(spark, "ref_routes", str(routes), declared=True)
+    assert [r["route_key"] for r in load.rows.collect()] == [2]
+    assert load.rejects.first()["reason"] == "out of range for avg_transit_days"

@@ -130,3 +130,46 @@ def test_stored_star_reads_back(spark, stars, tmp_path):
     for name in schema.TABLES:
         assert again.table(name).exceptAll(stars.clean.table(name)).count() == 0
         assert again.table(name).count() == stars.clean.table(name).count()
+
+
+def test_drill_aggregates_below_every_dimension_join(stars):
+    df = reports.drill(stars.clean, ["route_region", "transport_mode"], {"warehouse_status": "High Load"})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [i for i, line in enumerate(plan.splitlines()) if "Join" in line]
+    first_aggregate = [i for i, line in enumerate(plan.splitlines()) if "Aggregate" in line]
+    assert len(joins) == 3 and max(joins) < max(first_aggregate)
+    rows = df.collect()
+    flat = reports.shipments(stars.clean, ["route_region", "transport_mode", "warehouse_status"])
+    wanted = flat.where("warehouse_status = 'High Load'").groupBy("route_region", "transport_mode").count()
+    assert {(r[0], r[1]): r[2] for r in wanted.collect()} == {
+        (r["route_region"], r["transport_mode"]): r["total_shipments"] for r in rows}
+
+
+def test_published_report_is_pruned_by_month(spark, stars, tmp_path):
+    reports.publish(stars.clean, date(2001, 1, 1), str(tmp_path), database="default")
+    one = spark.table("report_shipments").where("order_month = date'1998-03-01'")
+    rows, plan = run(one.agg(F.count("*")))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "order_month" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert rows[0][0] > 0
+    assert spark.sql("select count(*) from default.report_shipments").first()[0] > rows[0][0]
+    spark.sql("drop view default.report_shipments")
+    spark.sql("drop view default.report_suppliers")
+
+
+def test_profile_does_not_expand_rows(stars):
+    from lanewise.operators import explore
+    plan = explore.profile(stars.raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_no_task_holds_all_unnamed_warehouses(spark, stars):
+    from lanewise.operators import benchmark
+    unnamed = stars.clean.warehouses.withColumn("location", F.lit(None).cast("string"))
+    tables = {n: stars.clean.table(n) for n in schema.TABLES}
+    star = from_tables({**tables, "ref_warehouses": unnamed})
+    df = benchmark.warehouse_delay(star)
+    rows, plan = run(df)
+    assert "windowspecdefinition(warehouse_location" not in plan and len(rows) > 100
+    assert {r["warehouse_location"] for r in rows} == {"Unknown"}
+    assert sum(r["py_delay_rate"] is None for r in rows) == 1
