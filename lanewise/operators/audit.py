@@ -1,6 +1,7 @@
 """Counts of dirty records before, between and after cleaning.
 
-All checks on one table are conditional counts in a single pass over it.
+All checks on one table are conditional counts in a single pass over it.  The
+names of the checks are fixed values.
 """
 
 from __future__ import annotations

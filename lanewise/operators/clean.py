@@ -1,7 +1,8 @@
 """Cleaning: raw tables in, clean tables out, one projection per table.
 
 The rules apply in order, so a later rule sees the result of an earlier one.
-Warehouses are not cleaned, nor are onboarding dates.
+Warehouses are not cleaned, nor are onboarding dates.  The replacement texts
+(``Unknown ...``) are fixed values.
 """
 
 from __future__ import annotations

@@ -61,7 +61,10 @@ def _positions(laid: DataFrame, name: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Row numbers in a total order over the whole result."""
+    """Row numbers in a total order over the whole result.
+
+    Sorting and a reliable checkpoint run at once, while the frame is built.
+    """
     return _positions(_sorted_once(df, order), name)
 
 

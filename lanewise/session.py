@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # size of the files that rebalanced writes aim at; shuffles of queries are
+    # still cut for parallelism first
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
