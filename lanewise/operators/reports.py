@@ -229,9 +229,9 @@ def publish(star: Star, as_of: date | None = None, root: str | None = None,
     """Register both reports as views of this session.
 
     With ``root`` they are stored first, the shipments by order month in even
-    files, so that a consumer's date filter reads its months only.  With
-    ``database`` too, the stored reports get views by name in that database of
-    the catalogue, where other sessions find them.
+    files.  With ``database`` too, the stored reports get views by name in that
+    database of the catalogue, where other sessions find them; the one of the
+    shipments also shows ``order_month``, by which a filter reads its months only.
     """
     made = {"report_suppliers": suppliers(star, as_of), "report_shipments": shipments(star)}
     for name, df in made.items():
@@ -240,7 +240,8 @@ def publish(star: Star, as_of: date | None = None, root: str | None = None,
             path = f"{root}/{name}"
             if name == "report_shipments":
                 write_by_month(df, path)
-                df = spark.read.schema(T.StructType([*df.schema, MONTH_FIELD])).parquet(path)
+                layout = T.StructType([*df.schema, MONTH_FIELD])
+                df = spark.read.schema(layout).parquet(path).select(*df.columns)
             else:
                 df.write.mode("overwrite").parquet(path)
                 df = spark.read.schema(df.schema).parquet(path)

@@ -147,7 +147,7 @@ def test_drill_aggregates_below_every_dimension_join(stars):
 
 def test_published_report_is_pruned_by_month(spark, stars, tmp_path):
     reports.publish(stars.clean, date(2001, 1, 1), str(tmp_path), database="default")
-    one = spark.table("report_shipments").where("order_month = date'1998-03-01'")
+    one = spark.table("default.report_shipments").where("order_month = date'1998-03-01'")
     rows, plan = run(one.agg(F.count("*")))
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "order_month" in scan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
