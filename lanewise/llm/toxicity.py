@@ -8,7 +8,7 @@ over all training texts) is the restored text.  A token of letters alone has a
 one-path lattice and is passed on as it is.
 
 The score comes from the restored words: words that occur in clearly more toxic
-than clean training documents carry their log odds, and a logistic curve turns
+than clean training documents (a sample of LABELLED ones) carry their log odds, and a logistic curve turns
 a document's sum into a probability.  Near copies count once in training.
 Words count as evidence if their likelihood ratio exceeds what the best of all
 words would reach by chance (2 ln V for V words).
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanewise.llm.arrays import chunks, documents, flat
 from lanewise.plans.frozen import written
 
+LABELLED = 20_000  # labelled documents to learn from, by a hash of their doc_id; all, if fewer
 EVIDENCE_WORDS = 100_000  # the most a model holds, strongest first
 KEPT_TOKENS = 400_000  # remembered by a worker; then it starts anew
 
@@ -244,12 +245,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents that are not held out."""
     texts = documents(docs.where(~held_out(F.col("doc_id"))))
     trigrams = _trigrams(texts)
-    marks = (
+    marks = dict(tuple(r) for r in (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").cast("bigint").alias("_doc"))
+        .where(~held_out(F.col("doc_id").cast("bigint")))
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    )
-    labelled = texts.join(marks, texts["doc_id"] == marks["_doc"]).select("text", "toxic")
+        .orderBy(F.xxhash64("doc"), "doc").limit(LABELLED).collect()))
+
+    def picked(batches):
+        for batch in batches:
+            known = [marks.get(d) for d in batch.column("doc_id").to_pylist()]
+            some = pa.array([i for i, k in enumerate(known) if k is not None], pa.int64())
+            toxic = pa.array([k for k in known if k is not None], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("text").take(some), toxic], ["text", "toxic"])
+
+    labelled = texts.mapInArrow(picked, "text binary, toxic int")
 
     def run(batches):
         own = restorer(trigrams)
