@@ -83,7 +83,8 @@ def grouped(parts: DataFrame, key: str, count: int, work: Callable[[Iterator[Par
                     out = []
             for _ in mine:  # what the work left unread
                 pass
-            yield pack(out)
+            if out:
+                yield pack(out)
 
     return (parts.repartition(count, F.xxhash64(key)).sortWithinPartitions(key, other)
             .mapInArrow(run, schema))

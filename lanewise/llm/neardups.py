@@ -5,10 +5,13 @@ exponential distances to random registers; a register keeps the smallest one,
 as a number on a logarithmic scale, truncated at both ends.  Registers of two
 documents agree about as often as their sets overlap, and merge by maximum.
 
-1. Documents with one set form a class; classes go on.
+1. Documents with one set form a class (known by a 64-bit hash); classes go on.
 2. Bands of register values put classes into buckets.  Each member of a bucket
-   is compared with the bucket's first member; then components are built; then
-   members of one bucket that are still in different components are compared.
+   is compared with the bucket's first member and components are built.  Where a
+   bucket still has several components, members that have too few shingles in
+   common with all other components together are left out; the others are
+   compared with one member of each band, and after a new round of the same
+   with all members of other components.
 3. A pair is dropped if the likelihood of its registers (which are larger in
    one, in the other, equal; the set sizes are known) rules the wanted overlap
    out; the others are verified on the full sets.
@@ -25,17 +28,22 @@ without doc_id are linked with nothing: their component is null and they stay.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lanewise.llm.arrays import chunks, documents, mix, pack, unpack
 from lanewise.llm.components import components
+from lanewise.llm.exchange import PARTS, batch_of, grouped, rows_of
 from lanewise.plans.frozen import written
 
 REGISTERS, BAND = 512, 8
+BUCKET_TEXT = 16 << 20  # bytes of text for a task that gathers bands, about
+BUCKET_SHINGLES = 4 << 20  # shingles for a task that compares components
 BASE = 1.001  # of the logarithmic scale
 _OFFSET = 4_000  # scale value of a point at distance 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,46 +128,88 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
     return (top[:, 0] >= least - 1e-9) & ((estimate >= least) | (wanted >= best.max(1) - _MARGIN))
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values).view(np.int64)
+def _sets(texts: list[bytes | None], words: int):
+    """Of each text the shingles and the class, a number for its set."""
+    sets = [shingles(t, words) for t in texts]
+    return sets, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], np.int64)
 
 
-def _sets(batch: pa.RecordBatch, words: int):
-    sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-    keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-    return sets, keys
+def _first_of(values: np.ndarray) -> np.ndarray:
+    return np.sort(np.unique(values, return_index=True)[1])
 
 
-def _sketched(words: int):
+def _sketched(words: int, buckets: int):
+    """Chunk rows: documents with size and class; band keys and classes for each key bucket."""
     def run(batches):
-        for batch in chunks(batches):
-            sets, keys = _sets(batch, words)
-            values = registers(sets)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(keys, pa.binary()),
-                pa.array([v.tobytes() if len(s) else None for s, v in zip(sets, values)], pa.binary()),
-            ], ["doc_id", "n", "k", "regs"])
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(chunks(batches)):
+            sets, classes_ = _sets(batch.column("text").to_pylist(), words)
+            ids = batch.column("doc_id")
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            facts = (pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)),
+                     pack(known.astype(np.uint8)), pack(np.array([len(s) for s in sets], np.int64)),
+                     pack(classes_))
+            rows = [(task << 32 | number, -1, pickle.dumps(facts), None, None)]
+            own = np.flatnonzero(known & np.array([len(s) > 0 for s in sets]))
+            own = own[_first_of(classes_[own])]  # copies once
+            if len(own):
+                keys = bands(registers([sets[i] for i in own]))
+                owner = np.repeat(classes_[own], keys.shape[1])
+                keys = keys.ravel()
+                order = np.argsort(keys)
+                keys, owner = keys[order], owner[order]
+                edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                rows += [(task << 32 | number, i, pack(np.diff(keys[x:y], prepend=np.uint64(0))),
+                          pack(owner[x:y]), None) for i, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+            yield batch_of(rows)
 
     return run
 
 
-def _banded(batches):
-    for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16)
-        if len(values):
-            keys = bands(values.reshape(-1, REGISTERS))
-            places = np.repeat(np.arange(batch.num_rows), keys.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("v").take(pa.array(places)), pa.array(_signed(keys.ravel()))], ["v", "band"])
+def _documents(batches):
+    for part in rows_of(batches):
+        ids, known, sizes, classes_ = (unpack(x, d) for x, d in zip(
+            pickle.loads(part[2]), (np.int64, np.uint8, np.int64, np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=known == 0), pa.array(sizes), pa.array(classes_)], ["doc_id", "n", "v"])
+
+
+def _shared(parts):
+    """Members of the bands of a key bucket that more than one class has, with the first member."""
+    held = [(np.cumsum(unpack(a, np.uint64), dtype=np.uint64), unpack(b, np.int64)) for _, _, a, b, _ in parts]
+    keys, owner = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    keys, owner = keys[new], owner[new]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(keys)))
+    several = np.repeat(size > 1, size)
+    pivot = np.repeat(owner[start], size)
+    yield from zip(keys.view(np.int64)[several].tolist(), owner[several].tolist(), pivot[several].tolist())
+
+
+def _members(rows):
+    columns = list(zip(*rows)) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["band", "v", "pivot"])
 
 
 def _full(words: int):
+    """Class, size, registers and set of each text, classes of a slice once."""
     def run(batches):
         for batch in chunks(batches):
-            sets, keys = _sets(batch, words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array([pack(s) for s in sets], pa.binary())], ["k", "set"])
+            sets, classes_ = _sets(batch.column("text").to_pylist(), words)
+            own = [i for i in _first_of(classes_) if len(sets[i])]
+            values = registers([sets[i] for i in own]) if own else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array(classes_[own], pa.int64()), pa.array([len(sets[i]) for i in own], pa.int64()),
+                pa.array([r.tobytes() for r in values], pa.binary()),
+                pa.array([pack(sets[i]) for i in own], pa.binary()),
+            ], ["v", "n", "regs", "set"])
 
     return run
 
@@ -184,36 +234,89 @@ def _linked(numerator: int):
     return run
 
 
+def _asked(buckets: int):
+    """The shingles of each class by key bucket, with its component."""
+    def run(batches):
+        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+        for batch in batches:
+            for v, root, blob in zip(*(batch.column(c).to_pylist() for c in ("v", "root", "set"))):
+                keys = unpack(blob, np.uint64)
+                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                yield batch_of([(v, i, pack(keys[x:y]), pickle.dumps(root), None)
+                                for i, (x, y) in enumerate(zip(at, at[1:])) if y > x])
+
+    return run
+
+
+def _elsewhere(parts):
+    """Per class its shingles of a bucket that a class of another component has too."""
+    held = [(v, pickle.loads(b), unpack(a, np.uint64)) for v, _, a, b, _ in parts]
+    keys, inside = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+    root = np.repeat([h[1] for h in held], [len(h[2]) for h in held])
+    low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+    np.minimum.at(low, inside, root)
+    np.maximum.at(high, inside, root)
+    both, at = (low != high)[inside], 0
+    for v, _, own in held:
+        yield v, int(both[at: at + len(own)].sum())
+        at += len(own)
+
+
+def _counted(rows):
+    columns = list(zip(*rows)) if rows else [[]] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_v", "both"])
+
+
+def _open(entries: DataFrame, roots: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """(band, v, root): members of buckets that may still be linked to another component.
+
+    A class linked to another has at least ``numerator`` hundredths of its
+    shingles in common with it.  Classes that have fewer in common with all
+    classes of other components together are left out, and once more without those.
+    """
+    at = roots.select(F.col("a").alias("_v"), F.col("b").alias("root"))
+    placed = entries.join(at, F.col("v") == F.col("_v"), "left").select(
+        "band", "v", F.coalesce("root", "v").alias("root"))
+    for _ in range(2):
+        apart = (placed.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+                 .where("_low <> _high").select(F.col("band").alias("_band")))
+        placed = written(placed.join(apart, F.col("band") == F.col("_band"), "left_semi"), "buckets")
+        nodes = placed.select("v", "root").distinct().join(
+            sets.select(F.col("v").alias("_v"), "n", "set"), F.col("v") == F.col("_v")).drop("_v")
+        nodes = written(nodes, "open-sets")
+        total = nodes.agg(F.sum("n")).first()[0] or 0
+        buckets = int(total // BUCKET_SHINGLES + 1)
+        counted = grouped(nodes.select("v", "root", "set").mapInArrow(_asked(buckets), PARTS), "bucket",
+                          buckets, _elsewhere, "_v bigint, both bigint", _counted)
+        counted = counted.groupBy("_v").agg(F.sum("both").alias("both"))
+        able = nodes.join(counted, F.col("v") == F.col("_v")).where(
+            F.col("both") * 100 >= F.col("n") * numerator).select(F.col("v").alias("_w"))
+        placed = placed.join(able, F.col("v") == F.col("_w"), "left_semi")
+    return placed
+
+
 def classes(df: DataFrame, words: int = 5, numerator: int = 80) -> DataFrame:
     """Per row its doc_id, number of shingles and the smallest doc_id it is linked to.
 
     Two documents are linked with 100 * intersection >= numerator * union.
     """
     docs = documents(df)
-    sketched = written(
-        docs.mapInArrow(_sketched(words), "doc_id bigint, n bigint, k binary, regs binary"), "sketches")
-    named = sketched.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    # a class is named by the smallest document with its set, and the set itself
-    one = named.groupBy("k").agg(F.min("doc_id").alias("doc"))
-    one = written(one.withColumn("v", F.xxhash64("k", "doc")), "classes")
-    firsts = (named.join(one.select(F.col("k").alias("_k"), "doc", "v"),
-                         (F.col("k") == F.col("_k")) & (F.col("doc_id") == F.col("doc")))
-              .select("v", "n", "regs").dropDuplicates(["v"]))
-    firsts = written(firsts, "class-sketches")
-    banded = firsts.select("v", "regs").mapInArrow(_banded, "v bigint, band bigint")
-    shared = (banded.groupBy("band").agg(F.min("v").alias("pivot"), F.max("v").alias("_last"))
-              .where("pivot <> _last").select(F.col("band").alias("_band"), "pivot"))
-    entries = written(banded.join(shared, F.col("band") == F.col("_band")).select("band", "v", "pivot"),
-                      "buckets")
-    wanted = entries.select("v").distinct().join(one.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(size // BUCKET_TEXT + 1)
+    parts = written(docs.mapInArrow(_sketched(words, buckets), PARTS), "sketches")
+    named = parts.where("bucket < 0").mapInArrow(_documents, "doc_id bigint, n bigint, v bigint")
+    linkable = named.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    one = written(linkable.groupBy("v").agg(F.min("doc_id").alias("doc")), "classes")
+    entries = written(
+        grouped(parts.where("bucket >= 0"), "bucket", buckets, _shared,
+                "band bigint, v bigint, pivot bigint", _members), "buckets")
+    wanted = (entries.select(F.col("v").alias("_v")).distinct()
+              .join(one, F.col("v") == F.col("_v")).select("v", "doc"))
     texts = docs.join(wanted.select(F.col("doc").alias("_doc")).distinct(),
                       F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
-    sets = texts.mapInArrow(_full(words), "k binary, set binary")
-    sets = (sets.join(wanted.select(F.col("k").alias("_k"), "v"), F.col("k") == F.col("_k"))
-            .select("v", "set").dropDuplicates(["v"])
-            .join(firsts.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"))
-            .select("v", "n", "regs", "set"))
-    sets = written(sets, "class-sets")
+    sets = texts.mapInArrow(_full(words), "v bigint, n bigint, regs binary, set binary")
+    sets = written(sets.join(wanted.select(F.col("v").alias("_w")), F.col("v") == F.col("_w"), "left_semi")
+                   .dropDuplicates(["v"]), "class-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -225,32 +328,34 @@ def classes(df: DataFrame, words: int = 5, numerator: int = 80) -> DataFrame:
         F.greatest("v", "pivot").alias("a"), F.least("v", "pivot").alias("b")).distinct(), "pairs")
     links = written(verified(first), "links")
     # rows that share a doc_id are one document
-    several = named.join(one.select(F.col("k").alias("_k"), "v"), F.col("k") == F.col("_k"))
-    twice = several.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("_a")).where("b <> _a")
-    twice = written(several.join(twice.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"))
-                    .where("v <> b").select(F.col("v").alias("a"), "b").distinct(), "same-documents")
+    twice = (linkable.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("_a"))
+             .where("b <> _a").select(F.col("doc_id").alias("_doc"), "b"))
+    twice = (linkable.join(twice, F.col("doc_id") == F.col("_doc")).where("v <> b")
+             .select(F.col("v").alias("a"), "b").distinct())
     links = links.unionByName(twice)
     roots = components(links)
-    at = roots.select(F.col("a").alias("_v"), F.col("b").alias("root"))
-    placed = entries.join(at, F.col("v") == F.col("_v"), "left").select(
-        "band", "v", F.coalesce("root", "v").alias("root"))
-    apart = (placed.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-             .where("_low <> _high").select(F.col("band").alias("_band")))
-    placed = written(placed.join(apart, F.col("band") == F.col("_band"), "left_semi"), "open-buckets")
-    left = placed.select("band", F.col("v").alias("a"), F.col("root").alias("_ra"))
-    right = placed.select(F.col("band").alias("_band"), F.col("v").alias("b"), F.col("root").alias("_rb"))
-    second = (left.join(right, (F.col("band") == F.col("_band")) & (F.col("a") > F.col("b"))
-                        & (F.col("_ra") != F.col("_rb")))
-              .select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    more = written(verified(second), "links")
-    if not more.isEmpty():
-        roots = components(roots.unionByName(more))
+    tried = first
+    for whole in (False, True):
+        open_ = written(_open(entries, roots, sets, numerator), "open-buckets")
+        # at first with one member of each band, another one from band to band
+        other = open_ if whole else open_.groupBy("band").agg(
+            F.min_by(F.struct("v", "root"), F.xxhash64("v", "band")).alias("m")).select("band", "m.*")
+        other = other.select(F.col("band").alias("_band"), F.col("v").alias("_w"), F.col("root").alias("_root"))
+        met = (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root"))
+        met = met & (F.col("v") > F.col("_w")) if whole else met
+        pairs = open_.join(other, met).select(F.greatest("v", "_w").alias("a"), F.least("v", "_w").alias("b"))
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(verified(pairs), "links")
+        if not more.isEmpty():
+            roots = components(roots.unionByName(more))
+        tried = tried.unionByName(pairs)
     root = one.join(roots.withColumnRenamed("a", "_v"), F.col("v") == F.col("_v"), "left").select(
-        "k", "doc", F.coalesce("b", "v").alias("root"))
+        "v", "doc", F.coalesce("b", "v").alias("root"))
     smallest = root.groupBy("root").agg(F.min("doc").alias("component_id")).withColumnRenamed("root", "_root")
     component = root.join(smallest, F.col("root") == F.col("_root")).select(
-        F.col("k").alias("_k"), "component_id")
-    return sketched.select("doc_id", "n", "k").join(component, F.col("k") == F.col("_k"), "left").select(
+        F.col("v").alias("_v"), "component_id")
+    # a text without shingles is a class of its own, which links nothing
+    return named.join(component, (F.col("v") == F.col("_v")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -54,7 +54,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(_read(spark, sf_dir, "documents")).drop("kept", "text_hash")
+    return repeats.remove(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (

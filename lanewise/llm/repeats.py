@@ -4,7 +4,7 @@ Every byte covered by a string of ``length`` bytes that also starts in a
 document with a smaller doc_id is removed.
 
 1. Documents are stored in chunks.  Each start of such a string names the least
-   16-gram hash inside it as its anchor; equal strings have equal anchors.
+   24-gram hash inside it as its anchor; equal strings have equal anchors.
 2. Anchors are counted over the corpus; only those in two documents matter.
 3. Around these anchors a chunk cuts out contexts (the string starts that share
    an anchor, with their text), equal contexts once with their smallest doc_id,
@@ -12,9 +12,10 @@ document with a smaller doc_id is removed.
 4. A shard sorts its suffixes: the first 8 bytes, then Larsson-Sadakane
    refinement, which doubles the sorted depth and looks again only at groups
    still tied.  Kasai's lemma gives common prefixes; neighbours with ``length``
-   bytes in common are one string, whose smallest doc_id is kept.  A shard with
-   more than SHARD_BYTES goes piece by piece; the sorted strings of each piece
-   are merged with those before by binary search.
+   bytes in common are one string, whose smallest doc_id is kept.  Equal contexts
+   are one, and an anchor with a single context needs no comparison.  A shard
+   goes piece by piece (PIECE_BYTES); the sorted strings of each piece are merged
+   with those before by binary search.
 5. The answers return to the chunks, which cut.
 
 Null and empty texts have no bytes and lose none.  Rows with one doc_id do not
@@ -25,22 +26,24 @@ nothing.  Very long texts are a chunk of their own (up to 2 GB).
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from lanewise.llm.arrays import chunks, documents, flat, pack, spans_of, unpack, unused
+from lanewise.llm.arrays import chunks, documents, flat, pack, spans_of, unpack, unused, utf8
 from lanewise.llm.exchange import PARTS, grouped, mapped, numbered
 from lanewise.llm.leaks import grams
 from lanewise.plans.frozen import written
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 CHUNK_BYTES = 2 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20  # of text for a shard, about
+PIECE_BYTES = 1 << 20  # of contexts for one suffix array
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -182,7 +185,7 @@ class Runs:
 def _open(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     _, _, a, b, c = part
     text = zstandard.ZstdDecompressor().decompress(c)
-    return unpack(a, np.int64), unpack(b, np.int64), np.frombuffer(text, np.uint8)
+    return unpack(pickle.loads(a)[0], np.int64), unpack(b, np.int64), np.frombuffer(text, np.uint8)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -212,14 +215,14 @@ class Contexts:
         at = np.searchsorted(known, runs.gram)
         hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == runs.gram) if len(known) else at[:0]
         self.low, self.count, self.doc = runs.low[hit], runs.count[hit], runs.doc[hit]
-        gram, raw = runs.gram[hit], self.data.tobytes()
+        self.gram, raw = runs.gram[hit], self.data.tobytes()
         seen: dict[bytes, int] = {}
         self.same = np.array([
             seen.setdefault(xxhash.xxh3_128_digest(raw[l: l + c + LENGTH - 1]), len(seen))
             for l, c in zip(self.low.tolist(), self.count.tolist())], np.int64)
         _, first = np.unique(self.same, return_index=True)
-        bucket = (gram[first] % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
+        bucket = (self.gram[first] % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((self.gram[first], bucket))
         place = np.empty(len(by), np.int64)
         place[by] = np.arange(len(by))
         self.same = place[self.same]
@@ -231,8 +234,10 @@ class Contexts:
         for bucket, a, b in _by_bucket(self.bucket):
             own = self.first[a:b]
             text = self.data[spans_of(self.low[own], self.count[own] + LENGTH - 1)]
-            yield (number, bucket, zstandard.compress(text.tobytes(), 1),
-                   pack(self.count[own].astype(np.uint8)), pack(self.least[a:b]))
+            facts = (pack(self.count[own].astype(np.uint8)),
+                     pack((self.gram[own] >> np.uint64(32)).astype(np.uint32)))
+            yield (number, bucket, zstandard.compress(text.tobytes(), 1), pickle.dumps(facts),
+                   pack(self.least[a:b]))
 
     def cut(self, answers: dict[int, bytes]):
         """Per document the mask of removed bytes."""
@@ -291,33 +296,53 @@ class Strings:
 
 
 def _answer(parts):
-    """The smallest doc_id of every string of a bucket, back to the chunks."""
-    strings, done, held, size = Strings(), [], [], 0
-
-    def flush():
-        nonlocal held, size
-        texts, counts, least = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
-        spans = counts + LENGTH - 1
-        begins = np.cumsum(spans) - spans
-        starts = spans_of(begins, counts)
-        numbers = strings.merge(texts, starts, np.repeat(least, counts))
-        at = 0
-        for chunk, _, own, _ in held:
-            done.append((chunk, numbers[at: at + int(own.sum())].astype(np.int32)))
-            at += int(own.sum())
-        held, size = [], 0
+    """The smallest doc_id of every string of a bucket, back to the chunks.
 
-    bucket = 0
+    A context that came several times is kept once.  Only anchors with several
+    contexts need their strings compared; they go through the suffix arrays in
+    pieces, neighbours by anchor.
+    """
+    number: dict[bytes, int] = {}
+    texts, sizes, grams_, held, bucket = [], [], [], [], 0
     for chunk, bucket, a, b, c in parts:
-        text = np.frombuffer(zstandard.ZstdDecompressor().decompress(a), np.uint8)
-        held.append((chunk, text, unpack(b, np.uint8).astype(np.int64), unpack(c, np.int64)))
-        size += len(text)
-        if size >= SHARD_BYTES:
-            flush()
-    if held:
-        flush()
-    for chunk, numbers in done:
-        yield chunk, bucket, pack(strings.least[numbers]), None, None
+        raw = zstandard.ZstdDecompressor().decompress(a)
+        counts, gram = (unpack(x, d) for x, d in zip(pickle.loads(b), (np.uint8, np.uint32)))
+        own, at = np.empty(len(counts), np.int64), 0
+        for i, (count, g) in enumerate(zip(counts.tolist(), gram.tolist())):
+            text = raw[at: at + count + LENGTH - 1]
+            at += len(text)
+            j = own[i] = number.setdefault(xxhash.xxh3_128_digest(text), len(texts))
+            if j == len(texts):
+                texts.append(text)
+                sizes.append(count)
+                grams_.append(g)
+        held.append((chunk, own, unpack(c, np.int64)))
+    counts, gram = np.array(sizes, np.int64), np.array(grams_, np.int64)
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    for _, own, smallest in held:
+        np.minimum.at(least, own, smallest)
+    begins = np.cumsum(counts) - counts
+    found = np.repeat(least, counts)
+    order = np.argsort(gram, kind="stable")
+    new = np.append(True, gram[order[1:]] != gram[order[:-1]])
+    alone = new & np.append(new[1:], True)
+    strings, pieces, piece, size = Strings(), [], [], 0
+    for i in [*order[~alone].tolist(), None]:
+        if piece and (i is None or size >= PIECE_BYTES):
+            own = np.array(piece)
+            text = np.frombuffer(b"".join(texts[j] for j in piece), np.uint8)
+            spans = counts[own] + LENGTH - 1
+            starts = spans_of(np.cumsum(spans) - spans, counts[own])
+            numbers = strings.merge(text, starts, np.repeat(least[own], counts[own]))
+            pieces.append((own, numbers.astype(np.int32)))
+            piece, size = [], 0
+        if i is not None:
+            piece.append(i)
+            size += len(texts[i])
+    for own, numbers in pieces:
+        found[spans_of(begins[own], counts[own])] = strings.least[numbers]
+    for chunk, own, _ in held:
+        yield chunk, bucket, pack(found[spans_of(begins[own], counts[own])]), None, None
 
 
 def _shared(parts):
@@ -332,10 +357,32 @@ def _shared(parts):
         at += len(own)
 
 
-def _stored(batch: pa.RecordBatch):
-    data, offsets = flat(batch.column("text"))
-    ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-    return pack(ids), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3)
+def _stored(batch: pa.RecordBatch, doc_id: str = "doc_id", text: str = "text", other=None):
+    """Ids (with other columns and which texts are null), lengths and texts of a chunk."""
+    data, offsets = flat(batch.column(text))
+    ids = np.asarray(batch.column(doc_id).to_numpy(zero_copy_only=False), np.int64)
+    more, null = None, None
+    if other is not None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, other.schema) as out:
+            out.write_batch(other)
+        more = sink.getvalue().to_pybytes()
+        null = pack(batch.column(text).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+    return (pickle.dumps((pack(ids), more, null)), pack(np.diff(offsets)),
+            zstandard.compress(data.tobytes(), 3))
+
+
+def _gathered(parts):
+    """The chunk row, the marks and the answers among the parts of a chunk."""
+    chunk, marks, answers = None, {}, {}
+    for part in parts:
+        if part[4] is not None:
+            chunk = part
+        elif part[3] is not None:
+            marks[part[1]] = part[2]
+        else:
+            answers[part[1]] = part[2]
+    return chunk, marks, answers
 
 
 def _anchors(buckets: int):
@@ -361,64 +408,52 @@ def _send(buckets: int):
     return work
 
 
-_RESULT = ("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,"
-           " kept binary, text_hash bigint")
-_KINDS = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.int64()]
-_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash"]
+_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+_KINDS = [pa.int64()] * 4 + [pa.string()]
+_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
 def _rows(rows):
-    columns = list(zip(*rows)) if rows else [[]] * 7
+    columns = list(zip(*rows)) if rows else [[]] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
 
-def _finish(buckets: int, with_text: bool):
+def _finish(buckets: int):
     def work(parts):
-        chunk, marks, answers = None, {}, {}
-        for part in parts:
-            if part[4] is not None:
-                chunk = part
-            elif part[3] is not None:
-                marks[part[1]] = part[2]
-            else:
-                answers[part[1]] = part[2]
+        chunk, marks, answers = _gathered(parts)
         for doc, data, gone in Contexts(chunk, marks, buckets).cut(answers):
             kept = data[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            removed = int(gone.sum())
-            yield (doc, len(data), removed, spans, hashlib.sha256(kept).hexdigest(),
-                   kept if with_text and removed else None,
-                   xxhash.xxh64_intdigest(data.tobytes()) - (1 << 63))
+            yield doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 
     return work
 
 
-def remove(df: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per document its bytes, the removed ones, their runs and a digest of the rest.
-
-    With ``with_text`` also the bytes left, where some are removed.
-    """
-    docs = documents(df)
-    store = written(
-        docs.where(F.col("doc_id").isNotNull())
-        .mapInArrow(numbered(_stored, lambda b: chunks(b, CHUNK_BYTES)), PARTS),
-        "repeat-chunks")
+def _answered(docs: DataFrame, cut_up, store, text: str):
+    """Stored chunks, marks of shared anchors and smallest doc_ids, with buckets and tasks to use."""
+    parts = written(docs.mapInArrow(numbered(store, cut_up), PARTS), "repeat-chunks")
     # a shard or bucket for every SHARD_BYTES of text
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(total // SHARD_BYTES + 1)
-    tasks = int(total // (2 * SHARD_BYTES) + 12)
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets, tasks = int(total // SHARD_BYTES + 1), int(total // (2 * SHARD_BYTES) + 12)
     marks = written(
-        grouped(mapped(store, _anchors(buckets)), "bucket", buckets, _shared), "repeat-marks")
-    marked = marks.withColumn("b", F.lit(b""))
-    sent = grouped(store.unionByName(marks), "chunk", tasks, _send(buckets))
+        grouped(mapped(parts, _anchors(buckets)), "bucket", buckets, _shared), "repeat-marks")
+    sent = grouped(parts.unionByName(marks), "chunk", tasks, _send(buckets))
     answers = written(grouped(sent, "bucket", buckets, _answer), "repeat-answers")
-    out = grouped(store.unionByName(marked).unionByName(answers), "chunk", tasks,
-                  _finish(buckets, with_text), _RESULT, _rows)
+    return parts, marks.withColumn("b", F.lit(b"")), answers, buckets, tasks
+
+
+def remove(df: DataFrame) -> DataFrame:
+    """Per document its bytes, the removed ones, their runs and a digest of the rest."""
+    docs = documents(df)
+    parts, marks, answers, buckets, tasks = _answered(
+        docs.where(F.col("doc_id").isNotNull()), lambda b: chunks(b, CHUNK_BYTES), _stored, "text")
+    out = grouped(parts.unionByName(marks).unionByName(answers), "chunk", tasks,
+                  _finish(buckets), _RESULT, _rows)
 
     def plain(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            yield _rows([(None, len(t), 0, 0, hashlib.sha256(t).hexdigest(), None, 0) for t in texts])
+            yield _rows([(None, len(t), 0, 0, hashlib.sha256(t).hexdigest()) for t in texts])
 
     loose = docs.where(F.col("doc_id").isNull()).mapInArrow(plain, _RESULT)
     return out.unionByName(loose)
@@ -428,35 +463,40 @@ def cut(df: DataFrame) -> DataFrame:
     """The documents without repeated passages, other columns as they were.
 
     A character that loses some of its bytes goes as a whole.  ``n_chars``, where
-    there is one, is counted anew.
+    there is one, is counted anew for texts that lose something.  The other
+    columns travel with the texts in the chunks, so no join is needed.
     """
-    names, own_hash = df.columns, unused(df.columns, "_hash")
-
-    def mark(batches):
-        place = names.index("text")
-        for batch in batches:
-            yield batch.append_column(own_hash, pa.array([
-                xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63)
-                for t in batch.column(place).to_pylist()], pa.int64()))
-
-    changed = remove(df, with_text=True).where(F.col("n_removed") > 0).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_of"), "kept")
-    changed = changed.dropDuplicates(["_doc", "_of"])
-
-    def text(batches):
-        for batch in batches:
-            kept = [None if t is None else t.decode("utf-8", "ignore")
-                    for t in batch.column("kept").to_pylist()]
-            yield batch.drop_columns(["kept"]).append_column("_kept", pa.array(kept, pa.string()))
-
-    changed = changed.mapInArrow(text, "_doc bigint, _of bigint, _kept string")
-    layout = T.StructType([*df.schema, T.StructField(own_hash, T.LongType())])
-    marked = df.mapInArrow(mark, layout)
-    joined = marked.join(changed, (marked["doc_id"].cast("bigint") == changed["_doc"])
-                         & (marked[own_hash] == changed["_of"]), "left")
-    kept = changed["_kept"]
-    new = {"text": F.coalesce(kept, marked["text"])}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(kept.isNotNull(), F.char_length(kept).cast(
-            df.schema["n_chars"].dataType)).otherwise(marked["n_chars"])
-    return joined.select(*[new[n].alias(n) if n in new else marked[n] for n in names])
+    names = df.columns
+    names_other = [n for n in names if n != "text"]
+    inside, raw = unused(names, "doc_number"), unused(names, "text_bytes")
+    docs = df.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias(inside), utf8(F.col("text")).alias(raw),
+        *[df[n] for n in names_other])
+
+    def store(batch: pa.RecordBatch):
+        return _stored(batch, inside, raw, batch.select(names_other))
+
+    parts, marks, answers, buckets, tasks = _answered(
+        docs, lambda b: chunks(b, CHUNK_BYTES, raw), store, raw)
+    counted = df.schema["n_chars"].dataType if "n_chars" in names else None
+
+    def work(rows):
+        chunk, mark, answer = _gathered(rows)
+        _, more, null = pickle.loads(chunk[2])
+        other, was_null = pa.ipc.open_stream(more).read_all(), unpack(null, np.uint8).astype(bool)
+        texts, changed = [], []
+        for (_, data, gone), null in zip(Contexts(chunk, mark, buckets).cut(answer), was_null):
+            texts.append(None if null else data[~gone].tobytes().decode("utf-8", "ignore"))
+            changed.append(bool(gone.any()))
+        columns = dict(zip(names_other, other.to_batches()[0].columns))
+        columns["text"] = pa.array(texts, pa.string())
+        if counted is not None:
+            old = columns["n_chars"].to_pylist()
+            new = [len(t) if c else o for t, c, o in zip(texts, changed, old)]
+            columns["n_chars"] = pa.array(new, columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    # a chunk gives one batch
+    out = grouped(parts.unionByName(marks).unionByName(answers), "chunk", tasks, work, df.schema,
+                  lambda made: made[0])
+    return out.unionByName(df.where(F.col("doc_id").isNull()))

@@ -27,7 +27,7 @@ def brute(rows):
 
 
 def test_equals_brute_force(wide, awkward):
-    got = sorted((tuple(r)[:5] for r in repeats.remove(wide).collect()), key=str)
+    got = sorted((tuple(r) for r in repeats.remove(wide).collect()), key=str)
     want = sorted((r[:5] for r in brute(awkward)), key=str)
     assert got == want
     assert sum(r[2] for r in want) > 1000
