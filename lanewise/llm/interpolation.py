@@ -30,7 +30,7 @@ from lanewise.llm.arrays import chunks, mix, pack, unpack, utf8
 from lanewise.llm.exchange import PARTS, grouped, mapped, numbered
 from lanewise.plans.frozen import written
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20  # keys for a task that counts, about
 STEPS = 16  # bins of a doubling of the ratio of the two estimates
 _END = np.uint64(0x5BD1E9955BD1E995)
