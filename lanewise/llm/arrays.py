@@ -48,9 +48,10 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES,
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column one after another, and each row's offset; null is empty."""
+    """All bytes of a binary or text column one after another, and each row's offset; null is empty."""
     if column.null_count:
-        column = column.fill_null(b"")
+        text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+        column = column.fill_null("" if text else b"")
     wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, places, data = column.buffers()
     if len(column) == 0 or places is None:

@@ -23,10 +23,11 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lanewise.llm.arrays import unused
+from lanewise.llm.arrays import chunks, unused
 
 SPACE = "▁"
-KEPT_PARTS = 800_000  # remembered by a worker; then it starts anew
+KEPT_PARTS = 400_000  # remembered by a worker; then it starts anew
+SLICE_BYTES = 1 << 20  # of text encoded together
 SHORT = 48
 _NONE = float("-inf")
 _PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -161,17 +162,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: str, characters: int = 4_000_000):
+def _slices(batches: Iterator[pa.RecordBatch], text: str):
     """Slices of whole rows with their texts; null counts as empty."""
-    for batch in batches:
-        rows, size, start = [r or "" for r in batch.column(text).to_pylist()], 0, 0
-        for i, row in enumerate(rows):
-            if size and size + len(row) > characters:
-                yield batch.slice(start, i - start), rows[start:i]
-                start, size = i, 0
-            size += len(row)
-        if start < len(rows):
-            yield batch.slice(start), rows[start:]
+    for batch in chunks(batches, SLICE_BYTES, text):
+        yield batch, [r or "" for r in batch.column(text).to_pylist()]
 
 
 def encode(df: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids",

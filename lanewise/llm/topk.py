@@ -55,9 +55,9 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     """By dimension an orthogonal matrix, strongest direction of the sample first."""
     sample = vectors.select("dim", "vector").limit(SAMPLE).collect()
     out = {}
-    for dim in {r["dim"] for r in sample}:
-        rows = np.array([r["vector"] for r in sample if r["dim"] == dim], float).reshape(-1, dim)
-        out[dim] = np.linalg.svd(rows, full_matrices=True)[2].T if dim else np.zeros((0, 0))
+    for dim in {r["dim"] for r in sample} - {0}:
+        rows = np.array([r["vector"] for r in sample if r["dim"] == dim], float)
+        out[dim] = np.linalg.svd(rows, full_matrices=True)[2].T
     return out
 
 

@@ -35,7 +35,7 @@ from lanewise.plans.frozen import written
 
 LABELLED = 20_000  # labelled documents to learn from, by a hash of their doc_id; all, if fewer
 EVIDENCE_WORDS = 100_000  # the most a model holds, strongest first
-KEPT_TOKENS = 400_000  # remembered by a worker; then it starts anew
+KEPT_TOKENS = 200_000  # remembered by a worker; then it starts anew
 
 # Look-alikes of letters.
 LOOKALIKES = {
@@ -205,7 +205,8 @@ class Model:
         held = self.weights
         total = sum(sorted(
             held[h] for h in map(xxhash.xxh3_64_intdigest, words) if h in held)) if held else 0.0
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.offset + self.slope * total))))
+        x = self.offset + self.slope * total
+        return float(x > 0) if math.isinf(x) else 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
 def _trigrams(texts: DataFrame) -> bytes:
@@ -279,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sums = once.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     rows, toxic = sums[0], sums[1] or 0
     if not toxic or toxic == rows:
-        return Model(trigrams, {}, 0.0, -500.0 if not toxic else 500.0)
+        return Model(trigrams, {}, 0.0, -math.inf if not toxic else math.inf)
     counted = written(
         once.select("toxic", F.explode("words").alias("word")).groupBy("word")
         .agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "toxic-counts")
@@ -338,9 +339,10 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         own = restorer(sent.value.trigrams)
-        for batch in batches:
+        for batch in chunks(batches):
             keep = [sent.value.score(own.words(t or "")) < 0.5
                     for t in batch.column(names.index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        own.seen.clear()  # the worker may live on with other work
 
     return docs.mapInArrow(run, docs.schema)
