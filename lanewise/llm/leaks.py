@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lanewise.llm.arrays import chunks, documents, flat, mix, spans_of, utf8
-from lanewise.plans.frozen import fresh_path
+from lanewise.plans.frozen import fresh_path, written
 
 Q = 12
 EDIT_RATE = 0.05
@@ -213,11 +213,36 @@ def _searcher(sent, q: int, rate: float):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
-    """The documents without a benchmark item, all columns as they were.
+def decontaminate(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = EDIT_RATE,
+                  block_bytes: int = 4 << 20) -> DataFrame:
+    """The rows without a benchmark item, all columns as they were.
 
-    Rows without doc_id are searched like any other; if one of them holds an
-    item, all rows without doc_id go.
+    Each row is judged by its own text, whatever its doc_id; several blocks of
+    items are one filter after another on written results.
     """
-    held = find(docs, items, q, rate).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(held, docs["doc_id"].cast("bigint").eqNullSafe(held["_leak"]), "left_anti")
+    wanted = items.select(F.col("item_id").cast("bigint"), utf8(F.col("text")).alias("text"))
+    size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = size // block_bytes + 1
+    for number in range(passes):
+        one = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
+        # about block_bytes of items
+        sent = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1] or b"")) for r in one.collect()])
+        kept = docs.mapInArrow(_clean(sent, docs.columns.index("text"), q, rate), docs.schema)
+        if passes == 1:
+            return kept
+        docs = written(kept, "without-leaks")
+        sent.destroy()
+    return docs
+
+
+def _clean(sent, place: int, q: int, rate: float):
+    def run(batches):
+        held = block(sent.value, q, rate)
+        for batch in chunks(batches):
+            if held is None:
+                yield batch
+                continue
+            keep = [not search(folded((t or "").encode()), held, q) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run

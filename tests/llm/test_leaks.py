@@ -84,3 +84,16 @@ def test_awkward_rows(spark, wide, nothing, awkward):
     assert kept.count() == len(awkward) - 2
     assert leaks.find(nothing, bench).count() == 0
     assert leaks.decontaminate(wide, bench.limit(0)).count() == len(awkward)
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 300])
+def test_rows_are_judged_one_by_one(spark, items, block_bytes):
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    leak = [f"before {text} after" for _, text in items]
+    rows = [(None, leak[0], "x"), (None, "clean", "x"), (None, "clean", "y"), (None, None, "x"),
+            (7, leak[1], "x"), (7, "clean as well", None), (7, leak[2], "y"), (8, leak[3], "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _leak string").repartition(2)
+    kept = leaks.decontaminate(docs, bench, block_bytes=block_bytes)
+    assert kept.schema == docs.schema
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(
+        [r for r in rows if r[1] not in leak], key=str)
