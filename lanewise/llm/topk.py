@@ -15,6 +15,10 @@ starting bound; all other blocks then go side by side.  Ties go to the smaller
 vec_id.  A query is never its own result (by vec_id; repeated vec_ids are the
 same vector's rows and are not returned to it either).
 
+Every row counts, in all blocks: a candidate row that stands in the table
+several times is as many results, and a query row that is asked several times
+gives each of its results as often.  The rows of one query_id share one ranking.
+
 Vectors that are null or hold null, NaN or infinite components take no part.
 Only vectors of equal dimension are compared.  Scores must fit in a BIGINT;
 larger ones are an error.
@@ -145,16 +149,18 @@ def _searched(sent, k: int):
                 c = unpack(row["vectors"], np.int64).reshape(len(c_ids), dim)
                 rotation = sent.value.get(dim, np.eye(dim))
                 found = best_of(q_ids, q, floor, c_ids, c, rotation, k)
+                sizes = [len(f[1]) for f in found]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
+                    pa.array(np.repeat([f[0] for f in found], sizes).astype(np.int64)),
                     pa.array(np.concatenate([f[1] for f in found])),
                     pa.array(np.concatenate([f[2] for f in found])),
-                ], ["query_id", "vec_id", "score"])
+                    pa.array(np.repeat(unpack(row["q_times"], np.int64), sizes)),
+                ], ["query_id", "vec_id", "score", "times"])
 
     return run
 
 
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
+_FOUND = "query_id bigint, vec_id bigint, score bigint, times bigint"
 
 
 def _query_blocks(batches):
@@ -169,6 +175,7 @@ def _query_blocks(batches):
         ids = batch.column("vec_id").to_numpy()
         floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
         length = batch.column("length").to_numpy()
+        times = batch.column("times").to_numpy()
         for dim in np.unique(dims):
             own = np.flatnonzero(dims == dim)
             for start in range(0, len(own), QUERY_BLOCK):
@@ -181,19 +188,22 @@ def _query_blocks(batches):
                     pa.array([int(dim)], pa.int32()), pa.array([number], pa.int64()),
                     pa.array([float(reach.min())]), pa.array([pack(ids[rows])], pa.binary()),
                     pa.array([pack(vectors.astype(np.int64))], pa.binary()),
-                    pa.array([pack(floor[rows])], pa.binary()),
-                ], ["q_dim", "q_part", "q_reach", "q_ids", "q_vectors", "q_floor"])
+                    pa.array([pack(floor[rows])], pa.binary()), pa.array([pack(times[rows])], pa.binary()),
+                ], ["q_dim", "q_part", "q_reach", "q_ids", "q_vectors", "q_floor", "q_times"])
                 number += 1
 
 
-_QUERIES = "q_dim int, q_part bigint, q_reach double, q_ids binary, q_vectors binary, q_floor binary"
+_QUERIES = ("q_dim int, q_part bigint, q_reach double, q_ids binary, q_vectors binary, q_floor binary, "
+            "q_times binary")
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest products of each query."""
     spark = candidates.sparkSession
     vectors = written(scaled(candidates, scale), "vectors")
-    asked = written(scaled(queries, scale).dropDuplicates(["vec_id", "vector"]), "queries")
+    # equal query rows are searched once
+    asked = written(scaled(queries, scale).groupBy("vec_id", "dim", "vector", "length")
+                    .agg(F.count(F.lit(1)).alias("times")), "queries")
     sent = spark.sparkContext.broadcast(rotations(vectors))  # dimension squared
     total = vectors.count()
     ordered = vectors.repartitionByRange(max(1, total // BLOCK + 1), F.desc("dim"), F.desc("length"))
@@ -205,7 +215,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int =
             given = asked.select("*", start)
         else:
             given = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select(
-                asked["vec_id"], "dim", "vector", "length",
+                asked["vec_id"], "dim", "vector", "length", "times",
                 F.coalesce("floor", start).alias("floor"))
         held = written(given.mapInArrow(_query_blocks, _QUERIES), "query-blocks")
         # a block pair is left out if no product in it can reach a bound
@@ -217,7 +227,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int =
     longest = blocks.groupBy(F.col("dim").alias("_dim")).agg(
         F.max_by("part", F.struct("longest", "part")).alias("_part"))
     ahead = blocks.join(longest, (F.col("dim") == F.col("_dim")) & (F.col("part") == F.col("_part")))
-    first = written(found(ahead.drop("_dim", "_part"), None).distinct(), "first-best")
+    first = written(found(ahead.drop("_dim", "_part"), None), "first-best")
     floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least")) \
         .where(F.col("_n") >= k).select("query_id", F.col("_least").cast("double").alias("floor"))
     others = blocks.join(longest, (F.col("dim") == F.col("_dim")) & (F.col("part") == F.col("_part")),
@@ -225,5 +235,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: int =
     every = first.unionByName(found(others, floors))
     # at most k rows of each block for a query
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = best.select("query_id", "vec_id", "score", F.explode(  # more than k of a row never rank
+        F.array_repeat(F.lit(True), F.least("times", F.lit(k)).cast("int"))).alias("_one"))
+    return (each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -53,3 +53,24 @@ def test_large_components_stay_exact():
         [2 * 3 * (1 << 40), 5 * 3 - (1 << 60)], [15 - (1 << 60), -10 * (1 << 20)]]
     with pytest.raises(OverflowError):
         topk.products(np.array([[1 << 62]]), np.array([[8]]))
+
+
+def ranked_together(rows, k, scale=1024):
+    """As the SQL twin: each row counts, rows of one query_id share a ranking."""
+    whole = [(i, [math.floor(scale * float(np.float32(x))) for x in v]) for i, v in rows]
+    found = {}
+    for q, x in whole:
+        if q % 100 == 0:
+            found.setdefault(q, []).extend(
+                (-sum(a * b for a, b in zip(x, y)), c) for c, y in whole if c != q)
+    return sorted((q, r, c, -s) for q, own in found.items() for r, (s, c) in enumerate(sorted(own)[:k], 1))
+
+
+@pytest.mark.parametrize("block", [20, 4096])
+def test_every_row_counts(spark, monkeypatch, block):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(250)]
+    rows += [(1001, [9.0, 9.0, 9.0, 9.0])] * 11 + [(1002, [-9.0, -9.0, -9.0, 9.0])] * 3
+    rows += [rows[3]] * 3 + [rows[100]] * 2 + [(200, [1.0, -1.0, 2.0, 0.5])]  # repeated queries as well
+    monkeypatch.setattr(topk, "BLOCK", block)
+    assert search(table(spark, rows)) == ranked_together(rows, 10)
