@@ -2,10 +2,14 @@
 
 A text is taken as words that went through a channel: letters may be written as
 look-alike digits and signs, letters may be repeated, words may be spread out
-letter by letter.  What the channel may have done to a token is a lattice of
-characters; the best path under a character language model (trigrams counted
-over all training texts) is the restored text.  A token of letters alone has a
-one-path lattice and is passed on as it is.
+letter by letter or cut by separators.  What the channel may have done to a
+token is a lattice of characters; the best path under a character language
+model (trigrams counted over all training texts) is the restored text.  The
+model sees an accented letter as its base letter and all letters without a
+Latin base as one; restored words keep the letters as written.  A token of
+letters alone has a one-path lattice and is passed on as it is.  A token with
+separators between letters may be several words or one, so both readings are
+given.
 
 The score comes from the restored words: words that occur in clearly more toxic
 than clean training documents (a sample of LABELLED ones) carry their log odds, and a logistic curve turns
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -45,24 +50,50 @@ LOOKALIKES = {
 _SIGNS = "".join(LOOKALIKES)
 _SEPARATORS = ".-_*~ "
 _END = ".,;:!?()[]{}\"'`*%&#$@~^<>|/\\=+-_…»«“”‘’"
-_START = "".join(c for c in _END if c not in _SIGNS) + "("
+_MARKS = "".join(c for c in _END if c not in _SIGNS)
+_START = _MARKS + "("
 _TRIPLE = re.compile(r"(.)\1\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_INNER = re.compile(r"[0-9@$!|+(€£]|(?<=[a-z])[.\-_*~](?=[a-z0-9][.\-_*~])")
-_BASE = 27
+_INNER = re.compile(r"[0-9@$!|+(€£]|(?<=[^\W\d_])[.\-_*~](?=[^\W_][.\-_*~])")
+_JOINT = re.compile(r"(?<=[^\W_]|[@$!|+(€£])[.\-_*~]+(?=[^\W_]|[@$!|+(€£])")
+_BASE = 28
 _SUBSTITUTE, _DROP, _REPEAT, _BREAK = math.log(0.2), math.log(0.3), math.log(0.3), math.log(1e-5)
 _LONG = 48
 
-# A-Z and a-z to 1..26, everything else to 0, the boundary
-_CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)],
-                  np.int64)
+# Letters whose base letter is not part of their decomposition.
+_BASES = {"ß": "s", "æ": "a", "œ": "o", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "t", "ı": "i"}
+
+
+@lru_cache(maxsize=1 << 16)
+def letter_code(c: str) -> int:
+    """1 to 26 by the base letter, 27 for letters without one, 0 (the boundary) for all else."""
+    if not c.isalpha():
+        return 0
+    low = c.lower()[0]
+    base = unicodedata.normalize("NFKD", _BASES.get(low, low))[0].lower()
+    return ord(base) - 96 if "a" <= base <= "z" else _BASE - 1
+
+
+_CODES = np.array([letter_code(chr(i)) for i in range(0x2000)], np.int32)
+
+
+def letter_codes(data: np.ndarray) -> np.ndarray:
+    """The code of each character of UTF-8 bytes."""
+    text = data.tobytes().decode("utf-8", "replace")
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = _CODES[np.minimum(points, len(_CODES) - 1)]
+    far = points >= len(_CODES)
+    if far.any():
+        kinds, where = np.unique(points[far], return_inverse=True)
+        codes[far] = np.array([letter_code(chr(p)) for p in kinds], np.int32)[where]
+    return codes
 
 
 def trigram_counts(data: np.ndarray) -> np.ndarray:
-    codes = _CODES[data]
+    codes = letter_codes(data)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
-    codes = np.concatenate([[0], codes[keep], [0]])
+    codes = np.pad(codes[keep], 1)
     if len(codes) < 3:
         return np.zeros(_BASE ** 3, np.int64)
     return np.bincount(codes[:-2] * _BASE ** 2 + codes[1:-1] * _BASE + codes[2:], minlength=_BASE ** 3)
@@ -86,7 +117,7 @@ def arcs(text: str) -> list[list[tuple[int, str, float]]]:
         run = 1
         while i + run < len(text) and text[i + run] == c:
             run += 1
-        if "a" <= c <= "z":
+        if c.isalpha():
             here.append((i + 1, c, 0.0))
             if run >= 3 and (i == 0 or text[i - 1] != c):
                 here += [(i + run, c, _REPEAT), (i + run, c + c, _REPEAT + _DROP)]
@@ -112,7 +143,7 @@ def decode(text: str, model: np.ndarray) -> str:
             for j, letters, cost in here:
                 s, x, y, w = score + cost, a, b, done
                 for c in letters:
-                    code = ord(c) - 96 if c != " " else 0
+                    code = letter_code(c)
                     if not (code == 0 and y == 0):
                         s += model[x, y, code]
                         x, y = y, code
@@ -136,17 +167,19 @@ class Restorer:
         if core.isalpha() and not _TRIPLE.search(core):
             return (core,)
         tail = token.lstrip(_START)[len(core):]
-        if not any("a" <= c <= "z" for c in core):
+        if not any(map(str.isalpha, core)):
             return ()
-        if not core.isascii() and not any(c in "€£" for c in core):
-            return tuple(_LETTERS.findall(_TRIPLE.sub(r"\1", core)))
         if _TRIPLE.search(core) or _INNER.search(core):
             words = decode(core, self.model).split()
             # a look-alike at the end may be a letter as well as a mark
             if tail[:1] in LOOKALIKES and tail[:1]:
                 words += decode(core + tail[0], self.model).split()
-            return tuple(dict.fromkeys(words))
-        return tuple(_LETTERS.findall(core))
+        else:
+            words = _LETTERS.findall(core)
+        joined = _JOINT.sub("", core)
+        if joined != core:
+            words += self.token(joined + tail)
+        return tuple(dict.fromkeys(words))
 
     def words(self, text: str) -> set[str]:
         tokens = text.lower().split()
@@ -163,17 +196,24 @@ class Restorer:
         return out
 
     @staticmethod
-    def _spread(tokens: list[str]) -> list[str]:
+    def _single(token: str) -> str:
+        """The one letter or sign of a token without its outer punctuation, or nothing."""
+        if len(token) > 1:
+            token = token.rstrip(_END).lstrip(_START) or token.strip(_MARKS)
+        return token if len(token) == 1 and (token in _SIGNS or token.isalpha()) else ""
+
+    @classmethod
+    def _spread(cls, tokens: list[str]) -> list[str]:
         """Runs of three and more single characters, at least one a letter, in pieces."""
         out, run = [], []
         for token in [*tokens, "  "]:
-            if len(token) == 1 and (token in _SIGNS or "a" <= token <= "z"):
-                run.append(token)
+            if one := cls._single(token):
+                run.append(one)
                 continue
             if len(run) >= 3:
                 for i in range(0, len(run), _LONG):
                     piece = " ".join(run[max(0, i - _LONG // 2): i + _LONG])
-                    if any("a" <= c <= "z" for c in piece):
+                    if any(map(str.isalpha, piece)):
                         out.append(piece)
             run = []
         return out

@@ -36,6 +36,22 @@ def test_restored(model, written, word):
     assert word in words
 
 
+@pytest.mark.parametrize("written, word", [
+    ("ré3ux", "réeux"), ("réeuuuux", "réeux"), ("r.é.e.u.x", "réeux"), ("r é e u x", "réeux"), ("Ré3ux!", "réeux"),
+    ("i d i o t.", "idiot"), ('"i d i o t"', "idiot"), ("i d 1 o t!", "idiot"),
+    ("id-iot", "idiot"), ("mor.on", "moron"), ("st-up_id", "stupid"), ("m0r.on", "moron"), ("(id-iot)", "idiot"),
+])
+def test_restored_with_accents_marks_and_separators(model, written, word):
+    words = toxicity.restorer(model.trigrams).words(f"the {written} and")
+    assert word in words
+
+
+def test_codes_of_letters():
+    text = "aÉßz 9łи日\U0001d41a-"
+    assert toxicity.letter_codes(np.frombuffer(text.encode(), np.uint8)).tolist() == [
+        1, 5, 19, 26, 0, 0, 12, 27, 27, 1, 0]
+
+
 def test_plain_words_stay(model):
     words = toxicity.restorer(model.trigrams).words("Der Größe, foo-bar! don't 1234 $$$ the the")
     assert {"der", "größe", "foo", "bar", "the"} <= words
