@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lanewise.llm.arrays import chunks, documents, flat
 from lanewise.plans.frozen import written
 
-LABELLED = 20_000  # labelled documents to learn from, by a hash of their doc_id; all, if fewer
+LABELLED = 20_000  # labelled documents there are to learn from, by a hash of their doc_id; all, if fewer
 EVIDENCE_WORDS = 100_000  # the most a model holds, strongest first
 KEPT_TOKENS = 200_000  # remembered by a worker; then it starts anew
 
@@ -286,11 +286,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents that are not held out."""
     texts = documents(docs.where(~held_out(F.col("doc_id"))))
     trigrams = _trigrams(texts)
+    present = docs.select(F.col("doc_id").cast("bigint").alias("doc")).where(F.col("doc").isNotNull()).distinct()
     marks = dict(tuple(r) for r in (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~held_out(F.col("doc_id").cast("bigint")))
         .groupBy(F.col("doc_id").cast("bigint").alias("doc"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .join(present, "doc", "left_semi")
         .orderBy(F.xxhash64("doc"), "doc").limit(LABELLED).collect()))
 
     def picked(batches):

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -77,6 +78,17 @@ def test_reject_keeps_columns(spark, wide, awkward):
     assert {400, 401, 402} <= {r.doc_id for r in kept.collect()}
 
 
+def test_labels_of_absent_documents_take_no_places(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["the", "river", "house", "green", "walks", "slow", "under", "light"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(12)) + (" idiot" if i % 2 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, "idiot")], "doc_id bigint, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "0 as quality", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity, "LABELLED", 60)
+    marked = toxicity.score(docs.where("doc_id is not null"), toxicity.train(docs, labels)).collect()
+    assert all(m.predicted == m.doc_id % 2 for m in marked) and len(marked) == 300
+
+
 def test_empty_tables(spark, nothing, docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
