@@ -13,8 +13,8 @@ across; a part seen before is looked up, a new one is split by the library unles
 it has Latin letters, digits and ASCII signs only, for which a pattern does the same.
 
 Null texts count as empty; an empty text has no tokens.  Rows without doc_id and
-repeated rows are counted like all others.  A text longer than a slice is a slice
-of its own; its words are held in memory together.
+repeated rows are counted like all others.  A very long text's words are held in
+memory together.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lanewise.llm.arrays import chunks, documents, flat, pack, spans_of, unpack
-from lanewise.plans.frozen import written
+from lanewise.plans.frozen import fresh_path
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 24 << 20
+BLOCK_BYTES = 2 << 20  # of a slice, cut into words together
 KEPT_PARTS = 300_000  # remembered by a worker; then it starts anew
 BATCH = 4096  # pre-tokens given to the library together
 
@@ -43,7 +44,10 @@ _LATIN = re.compile(" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+)")
 # Fixed value: the byte-level pre-tokenizer's pattern, for ASCII.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
-_SLICES = "slice bigint, ids binary, known binary, sizes binary, kinds binary, at binary, n binary, pretokens array<string>"
+_SLICES = """slice bigint, ids binary, known binary, sizes binary, kinds binary, at binary, n binary,
+    pretokens array<string>"""
+_ROW = pa.schema([("slice", pa.int64()), *[(n, pa.binary()) for n in (
+    "ids", "known", "sizes", "kinds", "at", "n")], ("pretokens", pa.list_(pa.string()))])
 _FOUND = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
@@ -114,52 +118,73 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _frequencies(own: PreTokens, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens; each text's number of kinds; kinds and how often they occur, text by text."""
-    cut = [own.parts(t) for t in texts]
-    owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-    coded = pa.array([p for parts in cut for p in parts], pa.string()).dictionary_encode()
-    del cut
-    number: dict[str, int] = {}
-    kinds, lengths = [], []
-    for part in coded.dictionary.to_pylist():
-        held = own.of(part)
-        kinds += [number.setdefault(p, len(number)) for p in held]
-        lengths.append(len(held))
-    kinds, lengths = np.array(kinds, np.int64), np.array(lengths, np.int64)
-    starts = np.cumsum(lengths) - lengths
-
-    # each part once for each text, then its pre-tokens
-    width = max(len(lengths), 1)
-    pairs, often = np.unique(owner * width + coded.indices.to_numpy(), return_counts=True)
-    owner, part = pairs // width, pairs % width
-    width = max(len(number), 1)
-    places = np.repeat(owner, lengths[part]) * width + kinds[spans_of(starts[part], lengths[part])]
-    pairs, group = np.unique(places, return_inverse=True)
-    often = np.bincount(group, np.repeat(often, lengths[part]), len(pairs)).astype(np.int64)
-    return list(number), np.bincount(pairs // width, minlength=len(texts)), pairs % width, often
+class Slice:
+    """Documents and their pre-token frequencies, numbered by first occurrence."""
+
+    def __init__(self):
+        self.bytes = 0
+        self.number: dict[str, int] = {}
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, own: PreTokens, batch: pa.RecordBatch) -> None:
+        texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+        ids, sizes = batch.column("doc_id"), np.diff(flat(batch.column("text"))[1])
+        self.held.append((
+            ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8),
+            sizes, *self._frequencies(own, texts)))
+        self.bytes += int(sizes.sum())
+
+    def _frequencies(self, own: PreTokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's number of kinds; the kinds and how often they occur, text by text."""
+        cut = [own.parts(t) for t in texts]
+        owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        coded = pa.array([p for parts in cut for p in parts], pa.string()).dictionary_encode()
+        del cut
+        kinds, lengths, number = [], [], self.number
+        for part in coded.dictionary.to_pylist():
+            held = own.of(part)
+            kinds += [number.setdefault(p, len(number)) for p in held]
+            lengths.append(len(held))
+        kinds, lengths = np.array(kinds, np.int64), np.array(lengths, np.int64)
+        starts = np.cumsum(lengths) - lengths
+
+        # each part once for each text, then its pre-tokens
+        width = max(len(lengths), 1)
+        pairs, often = np.unique(owner * width + coded.indices.to_numpy(), return_counts=True)
+        owner, part = pairs // width, pairs % width
+        width = max(len(number), 1)
+        places = np.repeat(owner, lengths[part]) * width + kinds[spans_of(starts[part], lengths[part])]
+        pairs, group = np.unique(places, return_inverse=True)
+        often = np.bincount(group, np.repeat(often, lengths[part]), len(pairs)).astype(np.int64)
+        return np.bincount(pairs // width, minlength=len(texts)), pairs % width, often
+
+    def row(self, number: int) -> pa.RecordBatch:
+        ids, known, sizes, kinds, at, often = (np.concatenate(c) for c in zip(*self.held))
+        return pa.RecordBatch.from_pylist([{
+            "slice": number, "ids": pack(ids), "known": pack(known), "sizes": pack(sizes),
+            "kinds": pack(kinds), "n": pack(often.astype(np.int32)),
+            # rising within a document, so the steps are small
+            "at": pack(np.diff(at, prepend=0).astype(np.int32)),
+            "pretokens": list(self.number),
+        }], _ROW)
 
 
 def _sliced(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
-        own, task = pretokens(path), TaskContext.get().partitionId()
-        for number, batch in enumerate(chunks(batches, SLICE_BYTES)):
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            distinct, kinds, at, often = _frequencies(own, texts)
-            ids = batch.column("doc_id")
-            _, offsets = flat(batch.column("text"))
-            yield pa.RecordBatch.from_pylist([{
-                "slice": task << 32 | number,
-                "ids": pack(ids.fill_null(0).to_numpy()),
-                "known": pack(ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)),
-                "sizes": pack(np.diff(offsets)),
-                "kinds": pack(kinds.astype(np.int64)),
-                "at": pack(at.astype(np.int32)), "n": pack(often.astype(np.int32)),
-                "pretokens": distinct,
-            }], pa.schema([("slice", pa.int64()), *[(n, pa.binary()) for n in (
-                "ids", "known", "sizes", "kinds", "at", "n")], ("pretokens", pa.list_(pa.string()))]))
-
-    return docs.mapInArrow(run, _SLICES)
+        own, number = pretokens(path), TaskContext.get().partitionId() << 32
+        now = Slice()
+        for batch in chunks(batches, BLOCK_BYTES):
+            now.add(own, batch)
+            if now.bytes >= SLICE_BYTES:
+                yield now.row(number)
+                now, number = Slice(), number + 1
+        if now.held:
+            yield now.row(number)
+
+    stored = fresh_path(docs.sparkSession, "pretokens")
+    made = docs.mapInArrow(run, _SLICES)
+    made.write.option("compression", "zstd").parquet(stored)
+    return docs.sparkSession.read.schema(made.schema).parquet(stored)
 
 
 def _counted(places: DataFrame, path: str) -> DataFrame:
@@ -192,7 +217,8 @@ def _summed(slices: pa.Table, counts: pa.Table) -> pa.Table:
     kinds = unpack(held["kinds"], np.int64)
     owner = np.repeat(np.arange(len(kinds)), kinds)
     tokens = np.zeros(len(kinds), np.int64)
-    np.add.at(tokens, owner, pieces[unpack(held["at"], np.int32)] * unpack(held["n"], np.int32))
+    at = np.cumsum(unpack(held["at"], np.int32).astype(np.int64))
+    np.add.at(tokens, owner, pieces[at] * unpack(held["n"], np.int32))
     missing = unpack(held["known"], np.uint8) == 0
     return pa.table([
         pa.array(unpack(held["ids"], np.int64), pa.int64(), mask=missing),
@@ -203,7 +229,7 @@ def count(df: DataFrame, path: str | None = None, limit: int = 1024, doc_id: str
           text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each document."""
     path = path or vocabulary_path()
-    slices = written(_sliced(documents(df, doc_id, text), path), "pretokens")
+    slices = _sliced(documents(df, doc_id, text), path)
     places = slices.select("slice", F.posexplode("pretokens").alias("at", "pretoken"))
     return (
         slices.drop("pretokens").groupBy("slice").cogroup(_counted(places, path).groupBy("slice"))

@@ -58,9 +58,10 @@ def want(own, rows, limit=1024):
     return sorted(made, key=str)
 
 
-@pytest.mark.parametrize("bytes_", [300, 12 << 20])
-def test_counts(own, wide, awkward, monkeypatch, bytes_):
-    monkeypatch.setattr(tokencounts, "SLICE_BYTES", bytes_)
+@pytest.mark.parametrize("slice_, block", [(300, 100), (9000, 700), (24 << 20, 2 << 20)])
+def test_counts(own, wide, awkward, monkeypatch, slice_, block):
+    monkeypatch.setattr(tokencounts, "SLICE_BYTES", slice_)
+    monkeypatch.setattr(tokencounts, "BLOCK_BYTES", block)
     assert counted(wide) == want(own, awkward)
     assert counted(wide, limit=60) == want(own, awkward, 60)
 
