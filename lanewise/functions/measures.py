@@ -8,12 +8,13 @@ BIGINT hundredths: exact, and inside Spark's 8-byte aggregation buffers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from lanewise.functions.exprs import (
     average_from_cents, cents, from_cents, percentage, quotient,
 )
 
+
 def is_late() -> Column:
     return F.col("delay_days") > 0
 
@@ -45,6 +46,12 @@ def _states() -> dict[str, tuple[Column, str]]:
     }
 
 
+def names_and_types() -> list[tuple[str, T.DataType]]:
+    """All states with the types of their columns."""
+    day = {"first_order", "last_order"}
+    return [(n, T.DateType() if n in day else T.LongType()) for n in _states()]
+
+
 def first_pass(names: list[str]) -> list[Column]:
     """Aggregates over shipment rows."""
     states = _states()
@@ -58,6 +65,12 @@ def second_pass(names: list[str]) -> list[Column]:
     return [merge[states[n][1]](n).alias(n) for n in names]
 
 
+def whole_pass(names: list[str]) -> list[Column]:
+    """As :func:`second_pass` over all rows, of which there may be none: counts are 0 then."""
+    counts = {"fact_rows", "shipments", "late", "on_time", "costed", "weighed"}
+    return [F.coalesce(c, F.lit(0)).alias(n) if n in counts else c for n, c in zip(names, second_pass(names))]
+
+
 # --- finishing ----------------------------------------------------------------
 
 

@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanewise.functions import measures as m
 from lanewise.functions.exprs import unknown, utilisation
-from lanewise.operators.scope import costed, dated
 from lanewise.operators.trend import direction
 from lanewise.plans.ranking import number_rows
-from lanewise.plans.rollup import roll_up
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 
@@ -43,9 +42,9 @@ def _against_history(
 
 
 def supplier_delay(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts("supplier_key")), ["shipments", "late"], at=_by_year(),
-                dimension=star.suppliers, key="supplier_key",
-                by={c: F.col(c) for c in ("supplier_name", "country", "contract_tier")})
+    g = totals(star, ["shipments", "late"], ("dated",), at=_by_year(),
+               dimension=star.suppliers, key="supplier_key",
+               by={c: F.col(c) for c in ("supplier_name", "country", "contract_tier")})
     rates = g.select("shipment_year", "supplier_name", "country", "contract_tier",
                      m.delay_rate().alias("current_delay_rate"))
     return _against_history(
@@ -55,9 +54,9 @@ def supplier_delay(star: Star) -> DataFrame:
 
 
 def carrier_on_time(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts("carrier_key")), ["shipments", "on_time"], at=_by_year(),
-                dimension=star.carriers, key="carrier_key",
-                by={c: F.col(c) for c in ("carrier_name", "transport_mode")})
+    g = totals(star, ["shipments", "on_time"], ("dated",), at=_by_year(),
+               dimension=star.carriers, key="carrier_key",
+               by={c: F.col(c) for c in ("carrier_name", "transport_mode")})
     rates = g.select("shipment_year", "carrier_name", "transport_mode",
                      m.on_time_rate().alias("current_otd_rate"))
     return _against_history(
@@ -67,9 +66,9 @@ def carrier_on_time(star: Star) -> DataFrame:
 
 
 def region_cost(star: Star) -> DataFrame:
-    g = roll_up(costed(dated(star.facts("route_key"))), ["shipments", "late", "cost"], at=_by_year(),
-                dimension=star.routes, key="route_key",
-                by={"route_region": unknown("region")})
+    g = totals(star, ["shipments", "late", "cost"], ("dated", "costed"), at=_by_year(),
+               dimension=star.routes, key="route_key",
+               by={"route_region": unknown("region")})
     costs = g.select("shipment_year", "route_region",
                      m.total_cost().alias("current_cost"),
                      m.delay_rate().alias("current_delay_rate"))
@@ -109,9 +108,9 @@ def _against_numbered_history(
 
 
 def warehouse_delay(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts("warehouse_key")), ["shipments", "late"], at=_by_year(),
-                dimension=star.warehouses, key="warehouse_key",
-                by={"warehouse_location": unknown("location"),
+    g = totals(star, ["shipments", "late"], ("dated",), at=_by_year(),
+               dimension=star.warehouses, key="warehouse_key",
+               by={"warehouse_location": unknown("location"),
                     "warehouse_region": unknown("region"),
                     "current_load": F.col("current_load"), "capacity": F.col("capacity")})
     rates = g.withColumn("utilisation_pct", utilisation("current_load", "capacity")).withColumn(

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanewise.functions import measures as m
 from lanewise.functions.exprs import percentage
-from lanewise.operators.scope import costed, dated
-from lanewise.plans.rollup import roll_up
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 
@@ -28,13 +27,13 @@ def _float_average(column: str, window) -> Column:
     return F.sum(column).over(window).cast("double") / F.count(column).over(window)
 
 
-def _buckets(facts: DataFrame, unit: str, name: str, states: list[str]) -> DataFrame:
-    return roll_up(facts, states, at={name: F.trunc("order_date", unit)})
+def _buckets(star: Star, unit: str, name: str, states: list[str], *scopes: str) -> DataFrame:
+    return totals(star, states, ("dated", *scopes), at={name: F.trunc("order_date", unit)})
 
 
 def monthly_cost(star: Star) -> DataFrame:
     bucket = "shipment_month"
-    g = _buckets(costed(dated(star.facts())), "MM", bucket, ["shipments", "late", "cost"])
+    g = _buckets(star, "MM", bucket, ["shipments", "late", "cost"], "costed")
     months = g.select(
         bucket,
         F.col("shipments").alias("monthly_shipments"),
@@ -52,7 +51,7 @@ def monthly_cost(star: Star) -> DataFrame:
 def monthly_delayed(star: Star) -> DataFrame:
     """The rolling average covers three rows, which need not be adjacent months."""
     bucket = "shipment_month"
-    g = _buckets(dated(star.facts()), "MM", bucket, ["late"])
+    g = _buckets(star, "MM", bucket, ["late"])
     rolling = Window.orderBy(bucket).rowsBetween(-2, Window.currentRow)
     return g.select(bucket, F.col("late").alias("monthly_delayed")).withColumns({
         "running_total_delayed": _running("monthly_delayed", bucket),
@@ -62,8 +61,7 @@ def monthly_delayed(star: Star) -> DataFrame:
 
 def yearly_cost(star: Star) -> DataFrame:
     bucket = "shipment_year"
-    g = _buckets(costed(dated(star.facts())), "year", bucket,
-                 ["shipments", "late", "late_days", "cost"])
+    g = _buckets(star, "year", bucket, ["shipments", "late", "late_days", "cost"], "costed")
     years = g.select(
         bucket,
         F.col("shipments").alias("yearly_shipments"),
@@ -80,7 +78,7 @@ def yearly_cost(star: Star) -> DataFrame:
 
 def monthly_on_time(star: Star) -> DataFrame:
     bucket = "shipment_month"
-    g = _buckets(dated(star.facts()), "MM", bucket, ["on_time", "late"])
+    g = _buckets(star, "MM", bucket, ["on_time", "late"])
     months = g.select(bucket, F.col("on_time").alias("monthly_on_time"),
                       F.col("late").alias("monthly_delayed"))
     return (
@@ -97,7 +95,7 @@ def monthly_on_time(star: Star) -> DataFrame:
 
 def yearly_delay_cost(star: Star) -> DataFrame:
     bucket = "shipment_year"
-    g = _buckets(costed(dated(star.facts())), "year", bucket, ["late_cost", "cost"])
+    g = _buckets(star, "year", bucket, ["late_cost", "cost"], "costed")
     return (
         g.withColumns({
             "_late": _running("late_cost", bucket),

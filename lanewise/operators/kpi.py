@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanewise.functions import measures as m
+from lanewise.functions import distinct, measures as m
 from lanewise.functions.exprs import from_cents, quotient
 from lanewise.operators.scope import valid
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 
 def _figure(star: Star, states: list[str], figure: Column, name: str) -> DataFrame:
-    return valid(star.facts()).agg(*m.first_pass(states)).select(figure.alias(name))
+    return totals(star, states, ("valid",)).select(figure.alias(name))
 
 
 def total_shipments(star: Star) -> DataFrame:
@@ -48,8 +49,15 @@ def total_weight(star: Star) -> DataFrame:
     return _figure(star, ["weight"], from_cents(F.col("weight")), "total_weight_shipped_kg")
 
 
+def _used(star: Star, keys: list[str]) -> DataFrame:
+    """Bitmaps of the keys in use, stored or from one narrow scan for each key."""
+    if star.states:
+        return star.states.used().where(F.col(distinct.KEY).isin(keys))
+    return distinct.bitmaps(valid(star.facts(*keys)), keys)
+
+
 def _distinct(star: Star, key: str, name: str) -> DataFrame:
-    return valid(star.facts(key)).agg(F.count_distinct(key).alias(name))
+    return distinct.wide_counts(_used(star, [key]), [key]).withColumnRenamed(key, name)
 
 
 def active_suppliers(star: Star) -> DataFrame:
@@ -77,16 +85,21 @@ def product_categories(star: Star) -> DataFrame:
 
 
 def report(star: Star, approximate: bool = False) -> DataFrame:
-    """All thirteen figures as rows, from one pass over the shipments.
+    """All thirteen figures as rows.
 
-    Exact distinct counts of four keys expand each row before the map-side
-    aggregation; ``approximate`` takes sketches instead.
+    The keys in use are counted exactly by bitmaps that merge over months, so no
+    row is copied for a counted key; ``approximate`` takes sketches instead, in
+    the pass of the other figures.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     keys = ["supplier_key", "carrier_key", "route_key", "warehouse_key"]
     states = ["shipments", "on_time", "late", "late_days", "cost", "costed", "weight"]
-    figures = valid(star.facts(*keys)).agg(
-        *m.first_pass(states), *[distinct(k).alias(k) for k in keys])
+    if approximate:
+        figures = valid(star.facts(*keys)).agg(
+            *m.first_pass(states), *[F.approx_count_distinct(k).alias(k) for k in keys])
+    else:
+        used = distinct.wide_counts(_used(star, keys), keys)
+        whole = used.agg(F.first(F.struct(*keys))).scalar()
+        figures = totals(star, states, ("valid",)).withColumn("_used", whole).select("*", "_used.*")
     whole_cost = F.round(from_cents(F.col("cost")), 0)
     # Names of the figures.
     rows = {
@@ -104,5 +117,6 @@ def report(star: Star, approximate: bool = False) -> DataFrame:
         "Active Warehouses": F.col("warehouse_key"),
         "Total Product Categories": product_categories(star).scalar(),
     }
-    wide = figures.select(*[value.cast("double").alias(name) for name, value in rows.items()])
-    return wide.unpivot([], [F.col(f"`{name}`") for name in rows], "measure_name", "measure_value")
+    return figures.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("measure_name"), value.cast("double").alias("measure_value"))
+        for name, value in rows.items()])))

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from lanewise.functions import labels, measures as m
 from lanewise.functions.exprs import unknown, utilisation
 from lanewise.plans.ranking import keep_rank, rank_all, tiles
-from lanewise.plans.rollup import roll_up
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 SUPPLIER = ["supplier_name", "country", "contract_tier"]
 
 
 def _by_supplier(star: Star, states: list[str], more: dict | None = None) -> DataFrame:
-    return roll_up(star.facts("supplier_key"), states,
+    return totals(star, states,
                    dimension=star.suppliers, key="supplier_key",
                    by={**{c: F.col(c) for c in SUPPLIER}, **(more or {})})
 
@@ -61,7 +61,7 @@ def suppliers(star: Star, limit: int = 10) -> DataFrame:
 def carriers(star: Star) -> DataFrame:
     """Contracted against delivered on-time rate, every carrier ranked."""
     groups = ["carrier_name", "transport_mode", "contracted_otd_rate"]
-    g = roll_up(star.facts("carrier_key"), ["shipments", "on_time", "cost", "costed"],
+    g = totals(star, ["shipments", "on_time", "cost", "costed"],
                 dimension=star.carriers, key="carrier_key",
                 by={"carrier_name": F.col("carrier_name"),
                     "transport_mode": F.col("transport_mode"),
@@ -78,7 +78,7 @@ def carriers(star: Star) -> DataFrame:
 
 
 def routes(star: Star, limit: int = 10) -> DataFrame:
-    g = roll_up(star.facts("route_key"), ["shipments", "late", "late_days"],
+    g = totals(star, ["shipments", "late", "late_days"],
                 dimension=star.routes, key="route_key",
                 by={"origin": F.col("origin"), "destination": F.col("destination"),
                     "region": F.col("region"), "distance_km": F.col("distance_km"),
@@ -95,7 +95,7 @@ def routes(star: Star, limit: int = 10) -> DataFrame:
 
 def warehouses(star: Star, limit: int = 5) -> DataFrame:
     columns = ["location", "region", "capacity", "current_load", "processing_time_avg"]
-    g = roll_up(star.facts("warehouse_key"), ["shipments", "late"],
+    g = totals(star, ["shipments", "late"],
                 dimension=star.warehouses, key="warehouse_key",
                 by={c: F.col(c) for c in columns})
     return keep_rank(g, m.exact_delay_rate(), limit, "bottleneck_rank").select(
@@ -129,7 +129,7 @@ def supplier_quartiles(star: Star) -> DataFrame:
 
 def product_exposure(star: Star) -> DataFrame:
     """Product categories by the cost of their delayed shipments."""
-    g = roll_up(star.facts("product_key"), ["shipments", "late", "late_cost"],
+    g = totals(star, ["shipments", "late", "late_cost"],
                 dimension=star.products, key="product_key",
                 by={"product_category": unknown("category")})
     return rank_all(g, F.col("late_cost"), ["product_category"], "cost_exposure_rank").select(

@@ -10,7 +10,7 @@ from lanewise.functions import labels, measures as m
 from lanewise.functions.measures import second_pass
 from lanewise.functions.exprs import month_span, quotient, utilisation, whole_division
 from lanewise.operators.scope import dated, ordered_between
-from lanewise.plans.rollup import DIMENSION_KEY, roll_up
+from lanewise.plans.rollup import DIMENSION_KEY, roll_up, totals
 from lanewise.sources.star import MONTH_FIELD, Star, write_by_month
 
 
@@ -19,9 +19,10 @@ def suppliers(star: Star, as_of: date | Column | None = None) -> DataFrame:
     today = F.current_date() if as_of is None else as_of
     if isinstance(today, date):
         today = F.lit(today)
-    g = roll_up(
-        dated(star.facts("supplier_key")),
+    g = totals(
+        star,
         ["shipments", "late", "on_time", "late_days", "cost", "costed", "first_order", "last_order"],
+        ("dated",),
         dimension=star.suppliers, key="supplier_key",
         by={
             "supplier_key": F.col(DIMENSION_KEY),

@@ -23,6 +23,15 @@ def costed(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("shipment_cost").isNotNull())
 
 
+# by name, over shipments and over stored states
+SCOPES = {"valid": valid, "dated": dated, "costed": costed}
+STATE_SCOPES = {
+    "valid": lambda rows: rows.where(F.col("is_valid")),
+    "dated": lambda rows: rows.where(F.col("is_valid") & F.col("order_date").isNotNull()),
+    "costed": lambda rows: rows.where(F.col("is_costed")),
+}
+
+
 def ordered_between(facts: DataFrame, first: date, last: date) -> DataFrame:
     """Shipments ordered in a period, both days included.
 

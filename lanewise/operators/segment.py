@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from lanewise.functions import labels, measures as m
 from lanewise.functions.exprs import month_span, quotient, utilisation
 from lanewise.operators.scope import costed, valid
-from lanewise.plans.rollup import DIMENSION_KEY, roll_up
+from lanewise.plans.rollup import DIMENSION_KEY, roll_up, totals
 from lanewise.sources.star import Star
 
 
 def _per_supplier(star: Star, states: list[str]) -> DataFrame:
-    return roll_up(valid(star.facts("supplier_key")), states,
+    return totals(star, states, ("valid",),
                    dimension=star.suppliers, key="supplier_key",
                    by={"supplier_key": F.col(DIMENSION_KEY),
                        "supplier_name": F.col("supplier_name"),
@@ -66,7 +66,7 @@ def warehouse_load(star: Star) -> DataFrame:
 
 def route_distance(star: Star) -> DataFrame:
     """Averages over routes, each route counting once."""
-    g = roll_up(valid(star.facts("route_key")), ["shipments", "late"],
+    g = totals(star, ["shipments", "late"], ("valid",),
                 dimension=star.routes, key="route_key",
                 by={"route_key": F.col(DIMENSION_KEY),
                     **{c: F.col(c) for c in ("origin", "destination", "region", "distance_km")}})

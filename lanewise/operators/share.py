@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanewise.functions import measures as m
 from lanewise.functions.exprs import from_cents, percentage, unknown
-from lanewise.operators.scope import costed, valid
-from lanewise.plans.rollup import roll_up
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 
@@ -21,13 +20,13 @@ def _cost() -> Column:
 
 
 def _with_totals(groups: DataFrame, states: list[str]) -> DataFrame:
-    totals = groups.agg(F.struct(*[F.sum(s).alias(s) for s in states])).scalar()
-    return groups.withColumn("overall", totals)
+    whole = groups.agg(F.struct(*[F.sum(s).alias(s) for s in states])).scalar()
+    return groups.withColumn("overall", whole)
 
 
-def _grouped(facts: DataFrame, states: list[str], dimension: DataFrame, key: str,
+def _grouped(star: Star, scopes: tuple[str, ...], states: list[str], dimension: DataFrame, key: str,
              by: dict[str, Column]) -> DataFrame:
-    return _with_totals(roll_up(facts, states, dimension=dimension, key=key, by=by), states)
+    return _with_totals(totals(star, states, scopes, dimension=dimension, key=key, by=by), states)
 
 
 def _share(state: str) -> Column:
@@ -35,7 +34,7 @@ def _share(state: str) -> Column:
 
 
 def country_volume(star: Star) -> DataFrame:
-    g = _grouped(valid(star.facts("supplier_key")), ["shipments"],
+    g = _grouped(star, ("valid",), ["shipments"],
                  star.suppliers, "supplier_key", {"supplier_country": unknown("country")})
     return g.select("supplier_country", m.total_shipments(),
                     F.col("overall.shipments").alias("overall_shipments"),
@@ -44,7 +43,7 @@ def country_volume(star: Star) -> DataFrame:
 
 
 def mode_cost(star: Star) -> DataFrame:
-    g = _grouped(costed(valid(star.facts("carrier_key"))), ["cost"],
+    g = _grouped(star, ("valid", "costed"), ["cost"],
                  star.carriers, "carrier_key", {"transport_mode": unknown("transport_mode")})
     return g.select("transport_mode", _cost(),
                     from_cents(F.col("overall.cost")).alias("overall_cost"),
@@ -53,7 +52,7 @@ def mode_cost(star: Star) -> DataFrame:
 
 
 def region_delays(star: Star) -> DataFrame:
-    g = _grouped(valid(star.facts("route_key")), ["shipments", "late"],
+    g = _grouped(star, ("valid",), ["shipments", "late"],
                  star.routes, "route_key", {"route_region": unknown("region")})
     return g.select("route_region", F.col("late").alias("total_delayed"), m.total_shipments(),
                     F.col("overall.late").alias("overall_delayed"),
@@ -62,7 +61,7 @@ def region_delays(star: Star) -> DataFrame:
 
 
 def product_cost(star: Star) -> DataFrame:
-    g = _grouped(costed(valid(star.facts("product_key"))), ["shipments", "cost"],
+    g = _grouped(star, ("valid", "costed"), ["shipments", "cost"],
                  star.products, "product_key", {"product_category": unknown("category")})
     return g.select("product_category", m.total_shipments(), _cost(),
                     from_cents(F.col("overall.cost")).alias("overall_cost"),
@@ -71,7 +70,7 @@ def product_cost(star: Star) -> DataFrame:
 
 
 def warehouse_volume(star: Star) -> DataFrame:
-    g = _grouped(valid(star.facts("warehouse_key")), ["shipments", "cost"],
+    g = _grouped(star, ("valid",), ["shipments", "cost"],
                  star.warehouses, "warehouse_key",
                  {"warehouse_location": unknown("location"), "warehouse_region": unknown("region")})
     return g.select("warehouse_location", "warehouse_region", m.total_shipments(), _cost(),
@@ -81,7 +80,7 @@ def warehouse_volume(star: Star) -> DataFrame:
 
 
 def tier_cost(star: Star) -> DataFrame:
-    g = _grouped(costed(valid(star.facts("supplier_key"))), ["shipments", "late", "cost"],
+    g = _grouped(star, ("valid", "costed"), ["shipments", "late", "cost"],
                  star.suppliers, "supplier_key", {"contract_tier": unknown("contract_tier")})
     return g.select("contract_tier", m.total_shipments(), _cost(), F.col("late").alias("total_delayed"),
                     from_cents(F.col("overall.cost")).alias("overall_cost"),

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lanewise.functions import labels, measures as m
 from lanewise.functions.exprs import unknown
-from lanewise.operators.scope import dated
-from lanewise.plans.rollup import roll_up
+from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
 
@@ -36,7 +35,7 @@ def _month() -> Column:
 
 
 def _over_time(star: Star, at: dict[str, Column], states: list[str], *figures: Column) -> DataFrame:
-    g = roll_up(dated(star.facts()), states, at=at)
+    g = totals(star, states, ("dated",), at=at)
     return g.select(*at, *figures).orderBy(*at)
 
 
@@ -56,7 +55,7 @@ def by_month(star: Star) -> DataFrame:
 def by_month_label(star: Star) -> DataFrame:
     """Labels sort as text: April comes before January."""
     # one label per month, not per shipment: formatting follows the aggregation
-    g = roll_up(dated(star.facts()), ["shipments", "late", "cost"], at={"month": _month()})
+    g = totals(star, ["shipments", "late", "cost"], ("dated",), at={"month": _month()})
     return g.select(
         F.date_format("month", "yyyy-MMM").alias("shipment_month"),
         m.total_shipments(), m.delayed_shipments(), _rate(), _cost(),
@@ -76,7 +75,7 @@ def by_year(star: Star) -> DataFrame:
 
 
 def month_over_month(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts()), ["shipments", "late", "cost"], at={"shipment_month": _month()})
+    g = totals(star, ["shipments", "late", "cost"], ("dated",), at={"shipment_month": _month()})
     rates = g.select("shipment_month", _rate(), m.total_cost().alias("monthly_cost"))
     previous = F.lag("delay_rate_pct").over(Window.orderBy("shipment_month"))
     return (
@@ -89,17 +88,17 @@ def month_over_month(star: Star) -> DataFrame:
 
 
 def by_year_and_mode(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts("carrier_key")), ["shipments", "late", "cost"],
-                at={"shipment_year": _year()}, dimension=star.carriers, key="carrier_key",
-                by={"transport_mode": unknown("transport_mode")})
+    g = totals(star, ["shipments", "late", "cost"], ("dated",),
+               at={"shipment_year": _year()}, dimension=star.carriers, key="carrier_key",
+               by={"transport_mode": unknown("transport_mode")})
     return g.select("shipment_year", "transport_mode", m.total_shipments(), _rate(), _cost()).orderBy(
         "shipment_year", "transport_mode")
 
 
 def by_year_and_region(star: Star) -> DataFrame:
-    g = roll_up(dated(star.facts("route_key")), ["shipments", "late", "cost"],
-                at={"shipment_year": _year()}, dimension=star.routes, key="route_key",
-                by={"route_region": unknown("region")})
+    g = totals(star, ["shipments", "late", "cost"], ("dated",),
+               at={"shipment_year": _year()}, dimension=star.routes, key="route_key",
+               by={"route_region": unknown("region")})
     return g.select("shipment_year", "route_region", m.total_shipments(), _rate(), _cost()).orderBy(
         "shipment_year", "route_region")
 

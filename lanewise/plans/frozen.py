@@ -38,7 +38,8 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, in Spark's own client on the driver."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
@@ -47,7 +48,7 @@ def _own_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     root = f"{shared_folder(spark).rstrip('/')}/lanewise-{app}"
     if (app, root) not in _owned:
-        files, there = _hadoop(spark, root)
+        files, there = hadoop(spark, root)
         files.mkdirs(there)
         files.deleteOnExit(there)  # with the driver's JVM
         _owned.add((app, root))
@@ -60,23 +61,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    files, there = _hadoop(spark, path)
+    files, there = hadoop(spark, path)
     files.delete(there, True)
 
 
-def stored_size(spark: SparkSession, path: str) -> tuple[int, int]:
-    """Number of files below a path and their bytes; nothing there is (0, 0)."""
-    files, there = _hadoop(spark, path)
-    if not files.exists(there):
-        return 0, 0
-    held = files.getContentSummary(there)
-    return held.getFileCount(), held.getLength()
-
-
 def replace(spark: SparkSession, new: str, path: str) -> None:
     """Put a written folder in the place of another one."""
-    files, there = _hadoop(spark, path)
-    _, made = _hadoop(spark, new)
+    files, there = hadoop(spark, path)
+    _, made = hadoop(spark, new)
     files.delete(there, True)
     files.mkdirs(there.getParent())
     if not files.rename(made, there):

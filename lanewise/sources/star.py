@@ -21,9 +21,15 @@ class Star:
     """
 
     def __init__(self, dimensions: dict[str, Callable[[], DataFrame]],
-                 shipments: Callable[[tuple[str, ...]], DataFrame]):
+                 shipments: Callable[[tuple[str, ...]], DataFrame], states=None,
+                 late: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
         self._dimensions = dimensions
         self._shipments = shipments
+        self.late = late or {}  # dimensions that are made from the stored shipments
+        self.states = states  # measure states of these shipments, where they are stored
+
+    def with_states(self, states) -> Star:
+        return Star(self._dimensions, self._shipments, states, self.late)
 
     def dimension(self, name: str) -> DataFrame:
         return self._dimensions[name]()
@@ -83,10 +89,15 @@ def from_tables(tables: dict[str, DataFrame]) -> Star:
 def write_star(star: Star, root: str) -> None:
     """Store all six tables as Parquet, replacing earlier content.
 
-    The tables are independent, so their jobs share the cluster.
+    The tables are independent, so their jobs share the cluster.  A dimension that
+    only lists what the shipments hold waits for them.
     """
     with ThreadPoolExecutor(len(schema.TABLES)) as pool:
-        list(pool.map(lambda name: write_table(star.table(name), name, root), schema.TABLES))
+        list(pool.map(lambda name: write_table(star.table(name), name, root),
+                      [n for n in schema.TABLES if n not in star.late]))
+    for name, made in star.late.items():
+        facts = read_table(star.dimension(name).sparkSession, "fact_shipments", root)
+        write_table(made(facts).select(*schema.TABLES[name].fieldNames()), name, root)
 
 
 def write_table(df: DataFrame, name: str, root: str) -> None:
