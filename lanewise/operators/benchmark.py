@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lanewise.functions import measures as m
 from lanewise.functions.exprs import unknown, utilisation
 from lanewise.operators.trend import direction
-from lanewise.plans.ranking import number_rows
+from lanewise.plans.ranking import positions
 from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
@@ -85,11 +85,9 @@ def _against_numbered_history(
     """As :func:`_against_history` for an entity that may hold any number of rows.
 
     No task has to hold all rows of an entity: the average is an aggregation
-    with a join, the previous row comes from a range sort with row numbers.
-    The sorted rows are written down while the frame is built.
+    with a join, the previous row comes from row numbers by key range.
     """
-    sorted_ = [F.asc_nulls_first(entity), F.asc("shipment_year"), *[F.asc_nulls_first(c) for c in order]]
-    laid = number_rows(df, sorted_, "_place")
+    laid = positions(df, [F.col(c) for c in (entity, "shipment_year", *order)], "_place")
     before = laid.select((F.col("_place") + 1).alias("_next"), F.col(entity).alias("_entity"),
                          F.col(value).alias("_before"))
     means = df.groupBy(F.col(entity).alias("_of")).agg(F.avg(value).alias(average))

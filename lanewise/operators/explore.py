@@ -77,17 +77,35 @@ def row_counts(star: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, map(count, schema.TABLES)).orderBy("table_name")
 
 
+TUPLES = 1 << 20  # distinct value combinations that columns counted together may have
+
+
 def profile(star: Star, approximate: bool = False) -> DataFrame:
-    """Per column: position, type, nullability, declared width and value counts."""
-    parts = [
-        _profile_table(name, star.table(name), approximate) for name in schema.TABLES
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Per column: position, type, nullability, declared width and value counts.
+
+    A first pass over each table counts missing values of all columns at once and
+    sketches their distinct ones; it runs while the frame is built.  The exact
+    distinct counts then take a scan for each column with very many values and one
+    for each set of columns with few (:func:`_together`).
+    """
+    tables = {name: star.table(name) for name in schema.TABLES}
+    if approximate:
+        return reduce(DataFrame.unionByName, [
+            _described(name, _sketched(df)) for name, df in tables.items()])
+    looks = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.array(*[
+        F.struct(
+            F.count_if(F.col(c).isNull()).alias("n_null"),
+            F.count_if(F.trim(F.col(c).cast("string")) == "").alias("n_blank"),
+            F.approx_count_distinct(c).alias("about"))
+        for c in df.columns]).alias("columns")) for name, df in tables.items()]
+    seen = {row["name"]: row for row in reduce(DataFrame.unionByName, looks).collect()}
+    return reduce(DataFrame.unionByName, [
+        _described(name, _counted(df, seen[name]["n"], seen[name]["columns"]))
+        for name, df in tables.items()])
 
 
-def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
+def _described(name: str, counted: DataFrame) -> DataFrame:
     fields = list(schema.TABLES[name])
-    counted = _sketched(df) if approximate else _counted(df)
 
     def fact(values: list) -> Column:
         """A fact about the column, by its position."""
@@ -106,26 +124,39 @@ def _profile_table(name: str, df: DataFrame, approximate: bool) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """Exact counts: one aggregation for each column, over that column only.
-
-    Values keep their type.  They are counted on the map side before the
-    shuffle, so frequent values travel once per task.
-    """
-    def one(place: int, column: str) -> DataFrame:
-        value = F.col(column)
-        counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        absent = F.col("value").isNull()
-        empty = F.trim(F.col("value").cast("string")) == ""
+def _together(about: dict[str, int], rows: int) -> list[list[str]]:
+    """Sets of columns whose combinations of values are few, told from sketched counts."""
+    if rows <= TUPLES:
+        return [list(about)]
+    sets, combinations = [[]], 1
+    for column, n in sorted(about.items(), key=lambda item: item[1]):
+        if sets[-1] and combinations * max(n, 1) > TUPLES:
+            sets.append([])
+            combinations = 1
+        sets[-1].append(column)
+        combinations *= max(n, 1)
+    return sets
 
-        def rows_where(test: Column) -> Column:
-            return F.coalesce(F.sum(F.when(test, F.col("n")).otherwise(F.lit(0))), F.lit(0))
 
-        return counts.agg(
-            F.lit(place).alias("ordinal_position"), rows_where(absent).alias("n_null"),
-            rows_where(empty).alias("n_blank"), F.count("value").alias("n_distinct"))
+def _counted(df: DataFrame, rows: int, look: list) -> DataFrame:
+    """Exact distinct counts next to the counts of the first pass.
 
-    return reduce(DataFrame.unionByName, [one(i, c) for i, c in enumerate(df.columns, 1)])
+    The columns of a set are grouped together on the map side; each of them is then
+    counted from that shuffle, which Spark reuses, not from the table again.
+    """
+    at = {c: i for i, c in enumerate(df.columns)}
+    parts = []
+    for columns in _together({c: look[i]["about"] for c, i in at.items()}, rows):
+        met = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+        for c in columns:
+            # the count is looked at only to keep the shuffle one and the same
+            values = met.groupBy(c).agg(F.sum("_n").alias("_n"))
+            parts.append(values.agg(
+                F.lit(at[c] + 1).alias("ordinal_position"),
+                F.lit(look[at[c]]["n_null"]).cast("bigint").alias("n_null"),
+                F.lit(look[at[c]]["n_blank"]).cast("bigint").alias("n_blank"),
+                F.count(F.when(F.col("_n") > 0, F.col(c))).alias("n_distinct")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _sketched(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lanewise.functions import labels, measures as m
 from lanewise.functions.exprs import unknown, utilisation
-from lanewise.plans.ranking import keep_rank, rank_all, tiles
+from lanewise.plans.ranking import falling, keep_rank, rank_all, tiles
 from lanewise.plans.rollup import totals
 from lanewise.sources.star import Star
 
@@ -116,7 +116,7 @@ def supplier_quartiles(star: Star) -> DataFrame:
         F.col("shipments").alias("total_shipments"),
         m.delay_rate().alias("delay_rate_pct"),
     )
-    order = [F.desc("delay_rate_pct"), *[F.asc_nulls_first(c) for c in SUPPLIER]]
+    order = [*falling("delay_rate_pct"), *map(F.col, SUPPLIER)]
     quartile = F.col("performance_quartile")
     label = F.element_at(F.create_map(*[F.lit(x) for p in labels.QUARTILES.items() for x in p]),
                          quartile)

@@ -68,26 +68,83 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "position") -> D
     return _positions(_sorted_once(df, order), name)
 
 
+# --- positions without writing anything down ----------------------------------
+
+SAMPLED = 20  # rows looked at for each range
+
+
+def falling(value: Column | str) -> list[Column]:
+    """Sort keys that put large values first and NULL last."""
+    value = F.col(value) if isinstance(value, str) else value
+    return [value.isNull(), -value]
+
+
+def _all_of(df: DataFrame) -> Column:
+    """1, told from all columns: every use of the rows then has the same plan below
+    it, so Spark computes their shuffle once and reuses it."""
+    return F.lit(1) + F.pmod(F.xxhash64(*df.columns), F.lit(1))
+
+
+def _ranges(df: DataFrame, key: Column) -> tuple[Column, Column]:
+    """The number of the key range a row belongs to, in the order of the key, and the bounds.
+
+    The range bounds are taken from a bounded sample, the rows with the smallest
+    hashes, and reach the rows as a scalar subquery; the sample decides how even
+    the ranges are, not what any row's position is.
+    """
+    count = max(1, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # whole rows, not just keys: the plan below is the one of the other uses
+    seen = df.orderBy(F.xxhash64(*df.columns)).limit(count * SAMPLED).agg(
+        F.collect_list(F.struct(*df.columns, key.alias("_key"))).alias("rows"))
+    keys = F.sort_array(F.transform("rows", lambda row: row["_key"]))
+    bounds = seen.select(F.filter(keys, lambda _, i: i % SAMPLED == SAMPLED - 1)).scalar()
+    return F.size(F.filter("_bounds", lambda bound: bound <= F.col("_key"))), bounds
+
+
+def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """1-based row numbers in the total order of ``order`` (ascending, NULL first).
+
+    Rows are dealt into key ranges, numbered within each range, and moved up by the
+    sizes of the ranges before.  Only those sizes are brought together.  Nothing
+    runs before the result is used.
+    """
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    number, bounds = _ranges(df, key)
+    laid = (
+        df.withColumns({"_weight": _all_of(df), "_key": key, "_bounds": bounds})
+        .withColumn("_range", number).drop("_bounds"))
+    sizes = laid.groupBy("_range").agg(F.sum("_weight").alias("_size"))
+    starts = sizes.select(
+        F.col("_range").alias("_of"),
+        (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
+    # one row per range, at most 1000: safe to broadcast
+    return (
+        laid.withColumn("_within", within).join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+        .withColumn(name, F.col("_start") + F.col("_within"))
+        .select(*df.columns, name)
+    )
+
+
 def rank_all(df: DataFrame, value: Column, ties: list[str], name: str) -> DataFrame:
     """RANK by descending value for every row.  ``ties`` make the order total."""
-    order = [F.desc_nulls_last("_value"), *[F.asc_nulls_first(c) for c in ties]]
-    laid = _sorted_once(df.withColumn("_value", value), order)
+    laid = positions(df.withColumn("_value", value), [*falling("_value"), *map(F.col, ties)], "_position")
     # The first position of a value is the rank of all its rows.  A value that
     # many rows share makes a skewed join side, which AQE splits.
-    firsts = (
-        _positions(laid, "_position").groupBy(F.col("_value").alias("_first"))
-        .agg(F.min("_position").alias(name))
-    )
+    firsts = laid.groupBy(F.col("_value").alias("_first")).agg(F.min("_position").alias(name))
     return (
         laid.join(firsts, laid["_value"].eqNullSafe(firsts["_first"]))
-        .drop("_value", "_first", "_at")
+        .drop("_value", "_first", "_position")
     )
 
 
 def tiles(df: DataFrame, order: list[Column], count: int, name: str) -> DataFrame:
-    """NTILE over the whole result: tile sizes differ by one, larger ones first."""
-    rows = number_rows(df, order, "_position")
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    """NTILE over the whole result: tile sizes differ by one, larger ones first.
+
+    ``order`` is total and ascending; see :func:`falling`.
+    """
+    rows = positions(df, order, "_position")
+    total = df.agg(F.sum(_all_of(df))).scalar()
     size = whole_division(F.col("_total"), F.lit(count))
     larger = F.col("_total") % count
     before = F.col("_position") - 1

@@ -163,6 +163,21 @@ def test_profile_does_not_expand_rows(stars):
     assert "Generate" not in plan and "Expand" not in plan
 
 
+@pytest.mark.parametrize("tuples", [1, 500, 1 << 20])
+def test_profile_counts_columns_together(stars, tuples, monkeypatch):
+    """Few scans, the same counts whatever is counted together."""
+    from lanewise.operators import explore
+    monkeypatch.setattr(explore, "TUPLES", tuples)
+    df = explore.profile(stars.raw)
+    got = {(r["table_name"], r["column_name"]): r["n_distinct"] for r in df.collect()}
+    for name in ("ref_carriers", "fact_shipments"):
+        table = stars.raw.table(name)
+        known = table.agg(*[F.count_distinct(c).alias(c) for c in table.columns]).first().asDict()
+        assert {c: got[name, c] for c in table.columns} == known
+    scans = [line for line in final_part(df).splitlines() if "FileScan" in line]
+    assert len(scans) <= {1: 54, 500: 40, 1 << 20: 6}[tuples]
+
+
 def test_no_task_holds_all_unnamed_warehouses(spark, stars):
     from lanewise.operators import benchmark
     unnamed = stars.clean.warehouses.withColumn("location", F.lit(None).cast("string"))

@@ -6,8 +6,10 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise import catalog
 from lanewise.functions import measures as m
-from lanewise.plans.ranking import keep_rank, number_rows, rank_all, tiles
+from lanewise.plans.ranking import falling, keep_rank, number_rows, positions, rank_all, tiles
+from plans import executed
 
 
 def frame(spark, rows):
@@ -69,8 +71,51 @@ def test_row_numbers_follow_the_order(spark):
 @pytest.mark.parametrize("count", [0, 1, 3, 4, 5, 10, 101])
 def test_tiles(spark, count):
     rows = [(f"n{i:03}", i, count) for i in range(count)]
-    got = tiles(frame(spark, rows), [F.desc("late")], 4, "tile").collect()
+    got = tiles(frame(spark, rows), falling("late"), 4, "tile").collect()
     tile = [r["tile"] for r in sorted(got, key=lambda r: -r["late"])]
     sizes = [tile.count(t) for t in (1, 2, 3, 4)]
     assert tile == sorted(tile)
     assert sizes == [count // 4 + (t < count % 4) for t in range(4)]
+
+
+@pytest.mark.parametrize("ranges", ["1", "3", "8", "200"])
+def test_positions_follow_the_order(spark, ranges):
+    rows = [(None if i % 9 == 0 else f"n{i % 40:02}", i % 3, i) for i in range(333)]
+    df = frame(spark, rows)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = positions(df, [*falling("late"), F.col("name"), F.col("shipments")]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    expected = sorted(rows, key=lambda r: (-r[1], r[0] is not None, r[0] or "", r[2]))
+    assert [tuple(r)[:3] for r in sorted(got, key=lambda r: r["position"])] == expected
+    assert sorted(r["position"] for r in got) == list(range(1, 334))
+
+
+def test_nulls_are_ranked_last(spark):
+    df = frame(spark, [(f"n{i}", None if i % 3 == 0 else i % 4, 1) for i in range(60)])
+    got = {r["name"]: r["rank"] for r in rank_all(df, F.col("late"), ["name"], "rank").collect()}
+    values = {f"n{i}": -1 if i % 3 == 0 else i % 4 for i in range(60)}
+    assert got == {k: 1 + sum(o > v for o in values.values()) for k, v in values.items()}
+
+
+@pytest.mark.parametrize("name", ["rk_carriers", "rk_supplier_quartiles", "rk_product_exposure", "yoy_warehouse_delay"])
+def test_no_job_while_a_full_rank_is_built(spark, stars, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", "")
+    try:
+        df = catalog.CLEAN[name](stars.clean)
+        df._jdf.queryExecution().optimizedPlan()
+        assert not context.statusTracker().getJobIdsForGroup(f"build-{name}")
+    finally:
+        context._jsc.clearJobGroup()
+    assert df.count() > 0
+
+
+def test_rows_below_a_rank_are_computed_once(stars):
+    df = catalog.CLEAN["rk_product_exposure"](stars.clean)
+    df.collect()
+    plan = executed(df).split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+    assert sum("FileScan" in line and "shipment_cost" in line for line in plan.splitlines()) == 1

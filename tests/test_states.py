@@ -36,6 +36,11 @@ def test_nothing_to_count(spark):
     assert distinct.wide_counts(distinct.bitmaps(empty, ["a"]), ["a"]).first()["a"] == 0
 
 
+def reads_no_shipments(df):
+    scans = [line for line in executed(df).splitlines() if "FileScan" in line]
+    return scans and not any("status" in line for line in scans)
+
+
 @pytest.mark.parametrize("stored", [False, True])
 def test_report_copies_no_rows(stars, stored):
     star = stars.summed if stored else stars.clean
@@ -46,7 +51,7 @@ def test_report_copies_no_rows(stars, stored):
     assert [rows[f"Active {n}"] for n in ("Suppliers", "Carriers", "Routes", "Warehouses")] == [
         known[k] for k in KEYS[:4]]
     if stored:
-        assert "fact_shipments" not in executed(df)
+        assert reads_no_shipments(df)
 
 
 # by month or by one dimension, on clean tables
@@ -127,7 +132,7 @@ def test_equals_the_direct_path_after_a_change(pair, name):
 def test_stored_analyses_read_no_shipments(stars, name):
     df = catalog.CLEAN[name](stars.summed)
     df.collect()
-    assert "fact_shipments" not in executed(df)
+    assert reads_no_shipments(df)
 
 
 def test_states_are_stored_where_they_are_short(stars):
