@@ -7,11 +7,15 @@ Warehouses are not cleaned, nor are onboarding dates.  The replacement texts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lanewise import schema
 from lanewise.functions.exprs import blank, fill_blank, title_case
 from lanewise.functions.labels import DATA_ERROR
-from lanewise.sources.star import Star
+from lanewise.plans import versions
+from lanewise.sources.star import MONTH, Star, marks_of, months_of, read_star
 
 
 def _or_zero(df: DataFrame, *names: str) -> dict:
@@ -83,3 +87,26 @@ _STEPS = {
 
 def clean_star(star: Star) -> Star:
     return star.transformed(_STEPS)
+
+
+def clean_stored(spark: SparkSession, raw: str, clean: str) -> dict[str, list[str]]:
+    """Bring the clean tables stored below ``clean`` up to the raw ones below ``raw``.
+
+    Only what has changed is cleaned: months of shipments whose files are not those
+    their clean month was made from, and other tables as a whole.  Gives the parts
+    written, by table.  Readers keep the versions they have resolved.
+    """
+    star = read_star(spark, raw)
+
+    def one(name: str) -> list[str]:
+        step, there = _STEPS.get(name, lambda df: df), f"{clean}/{name}"
+        rows = star.facts(*schema.FOREIGN_KEYS) if name == "fact_shipments" else star.table(name)
+        if name != "fact_shipments":
+            made = versions.refresh_whole(spark, there, marks_of(spark, raw, [name]), lambda: step(rows))
+            return [versions.ROWS] * made
+        return versions.refresh(
+            spark, there, months_of(spark, raw), MONTH,
+            lambda parts: step(versions.of_months(rows, MONTH, parts)))
+
+    with ThreadPoolExecutor(len(schema.TABLES)) as pool:  # the tables are independent
+        return dict(zip(schema.TABLES, pool.map(one, schema.TABLES)))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lanewise.functions import labels, measures as m
 from lanewise.functions.measures import second_pass
 from lanewise.functions.exprs import month_span, quotient, utilisation, whole_division
 from lanewise.operators.scope import dated, ordered_between
+from lanewise.plans import versions
 from lanewise.plans.rollup import DIMENSION_KEY, roll_up, totals
-from lanewise.sources.star import MONTH_FIELD, Star, write_by_month
+from lanewise.sources.star import MONTH, MONTH_FIELD, Star, marks_of, months_of, write_by_month
 
 
 def suppliers(star: Star, as_of: date | Column | None = None) -> DataFrame:
@@ -226,29 +229,59 @@ def _with_dimensions(star: Star, flat: DataFrame, used: dict, base: set[str]) ->
 
 
 def publish(star: Star, as_of: date | None = None, root: str | None = None,
-            database: str | None = None) -> None:
+            database: str | None = None) -> dict[str, list[str]]:
     """Register both reports as views of this session.
 
     With ``root`` they are stored first, the shipments by order month in even
-    files.  With ``database`` too, the stored reports get views by name in that
-    database of the catalogue, where other sessions find them; the one of the
-    shipments also shows ``order_month``, by which a filter reads its months only.
+    files.  Of a stored star only what has changed is written: the months whose
+    shipment files are not those they were made from, all months when a dimension
+    has changed, the suppliers when either has or ``as_of`` is another day.  Views
+    made before keep giving the version they were made for.  Gives the parts written.
+
+    With ``database`` too, the stored reports get views by name in that database of
+    the catalogue, where other sessions find them; the one of the shipments also
+    shows ``order_month``, by which a filter reads its months only.
     """
     made = {"report_suppliers": suppliers(star, as_of), "report_shipments": shipments(star)}
+    written: dict[str, list[str]] = {}
     for name, df in made.items():
         spark = df.sparkSession
         if root:
-            path = f"{root}/{name}"
+            written[name] = _store(spark, star, name, df, f"{root}/{name}", as_of)
             if name == "report_shipments":
-                write_by_month(df, path)
-                layout = T.StructType([*df.schema, MONTH_FIELD])
-                df = spark.read.schema(layout).parquet(path).select(*df.columns)
+                text = versions.as_sql(spark, f"{root}/{name}", [*df.columns, MONTH])
+                df = versions.read(spark, f"{root}/{name}", df.schema, MONTH_FIELD).select(*df.columns)
             else:
-                df.write.mode("overwrite").parquet(path)
+                path = versions.folder(spark, f"{root}/{name}")
+                text = f"select * from parquet.`{path}`"
                 df = spark.read.schema(df.schema).parquet(path)
             if database:
-                spark.sql(f"create or replace view `{database}`.`{name}` as select * from parquet.`{path}`")
+                spark.sql(f"create or replace view `{database}`.`{name}` as {text}")
         df.createOrReplaceTempView(name)
+    return written
+
+
+def _store(spark: SparkSession, star: Star, name: str, df: DataFrame, path: str, as_of: date | None) -> list[str]:
+    """Write what the stored report lacks; all of it where nothing tells what has changed."""
+    unknown = uuid.uuid4().hex  # equal to no earlier mark
+    dimensions = marks_of(spark, star.root, list(_from_dimensions())) if star.root else unknown
+    months = months_of(spark, star.root) if star.root else {}
+    if name == "report_suppliers":
+        marks = f"{dimensions} {sorted(months.items())} {as_of or date.today()}"
+        covers = hashlib.sha256(marks.encode()).hexdigest()
+        return [versions.ROWS] * versions.refresh_whole(spark, path, covers, lambda: df)
+    if star.root:
+        def of(parts: list[str]) -> DataFrame:
+            own = star.transformed({"fact_shipments": lambda facts: versions.of_months(facts, MONTH, parts)})
+            return shipments(own).withColumn(MONTH, F.trunc("order_date", "MM"))
+
+        dated_months = {part: mark for part, mark in months.items() if not part.endswith("__")}
+        return versions.refresh(spark, path, dated_months, MONTH, of, dimensions)
+    run = versions.new_run()
+    write_by_month(df, f"{path}/{run}")
+    parts = [e.name for e in versions.children(spark, f"{path}/{run}") if "=" in e.name]
+    versions.commit(spark, path, versions.current(spark, path), {p: f"{run}/{p}" for p in parts})
+    return parts
 
 
 def drill(star: Star, by: list[str], where: dict[str, object] | None = None,

@@ -65,16 +65,6 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(there, True)
 
 
-def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Put a written folder in the place of another one."""
-    files, there = hadoop(spark, path)
-    _, made = hadoop(spark, new)
-    files.delete(there, True)
-    files.mkdirs(there.getParent())
-    if not files.rename(made, there):
-        raise OSError(f"{new} can't be moved to {path}")
-
-
 def renewed_path(spark: SparkSession, name: str) -> str:
     """A new path that replaces the one given out for this name before.
 

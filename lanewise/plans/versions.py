@@ -143,7 +143,31 @@ def _sweep(spark: SparkSession, root: str, entries: list[Entry], kept: list[Vers
 
 def new_run() -> str:
     """The name of a folder that no other writer uses."""
-    return f"data/{RUN}={uuid.uuid4().hex}"
+    return f"data/{RUN}=r{uuid.uuid4().hex}"
+
+
+# --- tables kept as a whole ---------------------------------------------------
+
+ROWS = "rows"
+
+
+def folder(spark: SparkSession, root: str, part: str = ROWS) -> str:
+    """Where a part of the current version lies; the table's own folder if it has no versions."""
+    version = current(spark, root)
+    if not version.number and part != ROWS:
+        raise FileNotFoundError(f"{root} has no stored {part}")
+    return f"{root}/{version.folders[part]}" if version.number else root
+
+
+def refresh_whole(spark: SparkSession, root: str, covers: str, build: Callable[[], DataFrame]) -> bool:
+    """Write a derived table anew unless it was made from what ``covers`` tells; whether it was."""
+    seen = current(spark, root)
+    if seen.covers.get(ROWS) == covers:
+        return False
+    run = new_run()
+    build().write.parquet(f"{root}/{run}/{ROWS}")
+    commit(spark, root, seen, {ROWS: f"{run}/{ROWS}"}, {ROWS: covers})
+    return True
 
 
 # --- tables kept by month -----------------------------------------------------
@@ -175,6 +199,27 @@ def read(spark: SparkSession, root: str, layout: T.StructType, month: T.StructFi
     return reader.schema(T.StructType([*layout, run, month])).parquet(*paths).drop(RUN)
 
 
+def as_sql(spark: SparkSession, root: str, columns: list[str]) -> str:
+    """A query for the current version of a table with a folder for each month.
+
+    It goes on giving that version's rows while later ones are written.
+    """
+    runs: dict[str, list[str]] = {}
+    for part, there in current(spark, root).folders.items():
+        runs.setdefault(there.split("/")[1].split("=", 1)[1], []).append(part)
+    tests = []
+    for run, parts in sorted(runs.items()):
+        month = parts[0].split("=", 1)[0]
+        days = [p.split("=", 1)[1] for p in parts]
+        known = ", ".join(f"date'{d}'" for d in sorted(days) if not d.startswith("__"))
+        either = [f"`{month}` in ({known})"] if known else []
+        if any(d.startswith("__") for d in days):
+            either.append(f"`{month}` is null")
+        tests.append(f"({RUN} = '{run}' and ({' or '.join(either)}))")
+    names = ", ".join(f"`{c}`" for c in columns)
+    return f"select {names} from parquet.`{root}/data` where {' or '.join(tests) or 'false'}"
+
+
 def _split(version: Version) -> bool:
     """Whether each month has a folder of its own."""
     return all(f.endswith(f"/{part}") for part, f in version.folders.items())

@@ -15,11 +15,13 @@ from pyspark.sql import (
 )
 
 from lanewise import schema
-from lanewise.plans.frozen import remove, replace
-from lanewise.sources.star import write_table
+from lanewise.plans import versions
+from lanewise.plans.frozen import remove
+from lanewise.sources.star import write_rows
 
 _LINE = "_line"  # filled by the reader for lines it could not convert in full
 _WHY = "_why"  # the reason of a rejected line
+REJECT_LAYOUT = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "line", "reason")])
 
 
 @dataclass(frozen=True)
@@ -103,40 +105,50 @@ def _reason(layout: T.StructType) -> Column:
     )
 
 
+REJECTS = "rejects"
+
+
 def load_star(spark: SparkSession, paths: dict[str, str], root: str,
               declared: bool = False) -> dict[str, str]:
     """Load the named files into stored tables; one outcome per table.
 
     The text is parsed once: the rejected lines are counted while the rows are
     written, and only if there are some it is read again for them.  Rows and
-    rejects (under ``rejects/<table>``) take the place of earlier ones together,
-    after both are written.  A table that cannot be loaded is reported, keeps
-    what it had and does not stop the others.
+    rejects are two parts of one version, so both take the place of earlier ones
+    in the same step, after both are written.  A table that cannot be loaded is
+    reported, keeps what it had and does not stop the others; who reads the
+    earlier rows goes on reading them.
     """
     outcome = {}
     for table, path in paths.items():
-        staged = f"{root}/_staged"
+        there, run = f"{root}/{table}", versions.new_run()
+        parts = {versions.ROWS: f"{run}/{versions.ROWS}", REJECTS: f"{run}/{REJECTS}"}
         try:
+            before = versions.current(spark, there)
             lines, reason = _lines(spark, table, path, True, declared)
             seen = Observation()
             marked = lines.withColumn(_WHY, reason).observe(
                 seen, F.count_if(F.col(_WHY).isNotNull()).alias("rejected"))
             found = _parted(table, marked)
-            write_table(found.rows, table, staged)
+            write_rows(found.rows, table, f"{there}/{parts[versions.ROWS]}")
             rejected = seen.get["rejected"]
             if rejected:
                 found = load(spark, table, path, declared=declared)
-            rejects = found.rejects if rejected else spark.createDataFrame([], found.rejects.schema)
-            rejects.write.mode("overwrite").parquet(f"{staged}/rejects/{table}")
-            replace(spark, f"{staged}/{table}", f"{root}/{table}")
-            replace(spark, f"{staged}/rejects/{table}", f"{root}/rejects/{table}")
+            rejects = found.rejects if rejected else spark.createDataFrame([], REJECT_LAYOUT)
+            rejects.write.parquet(f"{there}/{parts[REJECTS]}")
+            versions.commit(spark, there, before, parts)
             outcome[table] = "loaded"
         except Exception as error:  # reported per table, the next one is still tried
             outcome[table] = f"failed: {error}"
-        remove(spark, staged)
+            remove(spark, f"{there}/{run}")
     return outcome
 
 
+def read_rejects(spark: SparkSession, table: str, root: str) -> DataFrame:
+    """The rejected lines of the load that the stored table comes from."""
+    return spark.read.schema(REJECT_LAYOUT).parquet(versions.folder(spark, f"{root}/{table}", REJECTS))
+
+
 def export(df: DataFrame, path: str) -> None:
     """Write a table in the text form that :func:`load` reads."""
     (

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from lanewise.operators.clean import clean_star
 from lanewise.plans import versions
 from lanewise.plans.frozen import renewed_path
-from lanewise.schema import FOREIGN_KEYS, TABLES
+from lanewise.schema import TABLES
 from lanewise.sources import states
 from lanewise.sources.derived import SOURCE_TABLES
 from lanewise.sources.star import Star, read_star, write_star
@@ -53,7 +53,7 @@ def prepared(spark: SparkSession, source: str, build: Callable[[], Star]) -> Pre
         raw = read_star(spark, f"{root}/raw")
         write_star(clean_star(raw), f"{root}/clean")
         clean = read_star(spark, f"{root}/clean")
-        held, _ = states.refresh(spark, clean.facts(*FOREIGN_KEYS), f"{root}/clean/fact_shipments", f"{root}/states")
+        held, _ = states.refresh(spark, clean, f"{root}/states")
         stars = Prepared(raw, clean, clean.with_states(held))
         _made[key] = (now, root, _stored(spark, root), stars)
         return stars

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lanewise import schema
+from lanewise.plans import versions
 
 MONTH = "order_month"
 MONTH_FIELD = T.StructField(MONTH, T.DateType())
@@ -22,14 +23,16 @@ class Star:
 
     def __init__(self, dimensions: dict[str, Callable[[], DataFrame]],
                  shipments: Callable[[tuple[str, ...]], DataFrame], states=None,
-                 late: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+                 late: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+                 root: str | None = None):
         self._dimensions = dimensions
         self._shipments = shipments
         self.late = late or {}  # dimensions that are made from the stored shipments
+        self.root = root  # where the tables are stored as they are
         self.states = states  # measure states of these shipments, where they are stored
 
     def with_states(self, states) -> Star:
-        return Star(self._dimensions, self._shipments, states, self.late)
+        return Star(self._dimensions, self._shipments, states, self.late, self.root)
 
     def dimension(self, name: str) -> DataFrame:
         return self._dimensions[name]()
@@ -79,11 +82,11 @@ class Star:
                     lambda keys: facts(self._shipments(keys)))
 
 
-def from_tables(tables: dict[str, DataFrame]) -> Star:
-    """A star over six ready DataFrames."""
+def from_tables(tables: dict[str, DataFrame], root: str | None = None) -> Star:
+    """A star over six ready DataFrames, stored below ``root`` if that is given."""
     names = [n for n in schema.TABLES if n != "fact_shipments"]
     return Star({n: (lambda df=tables[n]: df) for n in names},
-                lambda keys: tables["fact_shipments"])
+                lambda keys: tables["fact_shipments"], root=root)
 
 
 def write_star(star: Star, root: str) -> None:
@@ -102,7 +105,10 @@ def write_star(star: Star, root: str) -> None:
 
 def write_table(df: DataFrame, name: str, root: str) -> None:
     """Store one table as Parquet; shipments are partitioned by order month."""
-    path = f"{root}/{name}"
+    write_rows(df, name, f"{root}/{name}")
+
+
+def write_rows(df: DataFrame, name: str, path: str) -> None:
     if name != "fact_shipments":
         df.write.mode("overwrite").parquet(path)
     else:
@@ -120,12 +126,30 @@ def write_by_month(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """Read one stored table.  The declared schema avoids a footer scan."""
-    layout = schema.TABLES[name]
+    """Read one stored table, the current version where it has versions.
+
+    The declared schema avoids a footer scan.
+    """
+    layout, path = schema.TABLES[name], f"{root}/{name}"
     if name == "fact_shipments":
+        version = versions.current(spark, path)
+        if version.number and versions.ROWS not in version.folders:
+            return versions.read(spark, path, layout, MONTH_FIELD)
         layout = T.StructType([*layout, MONTH_FIELD])
-    return spark.read.schema(layout).parquet(f"{root}/{name}")
+    return spark.read.schema(layout).parquet(versions.folder(spark, path))
 
 
 def read_star(spark: SparkSession, root: str) -> Star:
-    return from_tables({name: read_table(spark, name, root) for name in schema.TABLES})
+    return from_tables({name: read_table(spark, name, root) for name in schema.TABLES}, root)
+
+
+def months_of(spark: SparkSession, root: str) -> dict[str, str]:
+    """The months of the shipments stored below ``root``, each with a mark of its files."""
+    path = f"{root}/fact_shipments"
+    kept_whole = versions.ROWS in versions.current(spark, path).folders
+    return versions.months(spark, versions.folder(spark, path) if kept_whole else path)
+
+
+def marks_of(spark: SparkSession, root: str, names: list[str]) -> str:
+    """A text that changes with the files of the named stored tables."""
+    return " ".join(versions.fingerprint(spark, versions.folder(spark, f"{root}/{n}")) for n in names)

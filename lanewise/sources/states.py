@@ -23,7 +23,7 @@ from lanewise.functions import distinct
 from lanewise.functions.labels import DATA_ERROR
 from lanewise.functions.measures import first_pass, names_and_types
 from lanewise.plans import versions
-from lanewise.sources.star import MONTH, MONTH_FIELD
+from lanewise.sources.star import MONTH, MONTH_FIELD, Star, months_of
 
 # scope of a state row, as scope.py keeps shipments
 VALID, COSTED = "is_valid", "is_costed"
@@ -87,14 +87,14 @@ class States:
         return self._used.where(F.col(VALID))
 
 
-def refresh(spark: SparkSession, facts: DataFrame, source: str, root: str,
+def refresh(spark: SparkSession, star: Star, root: str,
             by: list[str] | None = None) -> tuple[States, dict[str, list[str]]]:
-    """Bring the states below ``root`` up to the shipments stored below ``source``.
+    """Bring the states below ``root`` up to the shipments of a stored star.
 
     Gives them and, for each table, the months that were made anew.  Without
     ``by`` the keys of the earlier tables are kept, or chosen if there are none.
     """
-    held = versions.months(spark, source)
+    held, facts = months_of(spark, star.root), star.facts(*schema.FOREIGN_KEYS)
 
     def build(name: str):
         def rows(parts: list[str]) -> DataFrame:

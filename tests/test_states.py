@@ -78,7 +78,7 @@ def own(spark, stars, tmp_path_factory):
 
 def stored_star(spark, root, by=("supplier_key", "carrier_key")):
     star = read_star(spark, root)
-    held, made = states.refresh(spark, star.facts(*KEYS), f"{root}/fact_shipments", f"{root}/states", list(by))
+    held, made = states.refresh(spark, star, f"{root}/states", list(by))
     return star, star.with_states(held), made
 
 
