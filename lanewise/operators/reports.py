@@ -14,7 +14,7 @@ from lanewise.functions.exprs import month_span, quotient, utilisation, whole_di
 from lanewise.operators.scope import dated, ordered_between
 from lanewise.plans import versions
 from lanewise.plans.rollup import DIMENSION_KEY, roll_up, totals
-from lanewise.sources.star import MONTH, MONTH_FIELD, Star, marks_of, months_of, write_by_month
+from lanewise.sources.star import MONTH, MONTH_FIELD, SALT, Star, marks_of, months_of, write_by_month
 
 
 def suppliers(star: Star, as_of: date | Column | None = None) -> DataFrame:
@@ -195,6 +195,8 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
         for table, (key, named) in _from_dimensions().items()
     }
     used = {table: part for table, part in parts.items() if part[1]}
+    if star.salted in used:  # first, while the shipments lie in its buckets
+        used = {star.salted: used.pop(star.salted), **used}
     keys = [key for key, _ in used.values()]
 
     facts = dated(star.facts(*keys))
@@ -203,6 +205,7 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
     flat = facts.select(
         *[expr.alias(n) for n, expr in own.items() if n in base],
         *[F.col(k).alias(f"_{k}") for k in keys],
+        *([F.col(SALT).alias("_salt")] if star.salted in used else []),
     )
     return _with_dimensions(star, flat, used, base).select(*wanted)
 
@@ -210,17 +213,22 @@ def shipments(star: Star, columns: list[str] | None = None, strict_bands: bool =
 def _with_dimensions(star: Star, flat: DataFrame, used: dict, base: set[str]) -> DataFrame:
     """Rows with the foreign keys ``_<key>``, joined with the used dimensions' columns."""
     for table, (key, named) in used.items():
-        rows = star.dimension(table).select(
-            F.col(key).alias("_match"), *[value.alias(n) for n, (value, _) in named.items()])
+        salt = table == star.salted and "_salt" in flat.columns
+        rows = (star.copies(table) if salt else star.dimension(table)).select(
+            F.col(key).alias("_match"), *([F.col(SALT).alias("_copy")] if salt else []),
+            *[value.alias(n) for n, (value, _) in named.items()])
+        same = F.col(f"f._{key}") == F.col("d._match")
+        if salt:
+            same = same & (F.col("f._salt") == F.col("d._copy"))
         defaults = {
             n: F.coalesce(F.col(f"d.{n}"), F.lit(default).cast(rows.schema[n].dataType))
             if default is not None else F.col(f"d.{n}")
             for n, (_, default) in named.items()
         }
         flat = (
-            flat.alias("f").join(rows.alias("d"), F.col(f"f._{key}") == F.col("d._match"), "left")
+            flat.alias("f").join(rows.alias("d"), same, "left")
             .select("f.*", *[expr.alias(n) for n, expr in defaults.items()])
-            .drop(f"_{key}")
+            .drop(f"_{key}", "_salt")
         )
     for name, expr in _combined().items():
         if name in base:

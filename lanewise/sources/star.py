@@ -12,6 +12,7 @@ from lanewise.plans import versions
 
 MONTH = "order_month"
 MONTH_FIELD = T.StructField(MONTH, T.DateType())
+SALT = "key_salt"  # spreads frequent keys of a bucketed dimension
 
 
 class Star:
@@ -29,12 +30,19 @@ class Star:
         self._shipments = shipments
         self.late = late or {}  # dimensions that are made from the stored shipments
         self.root = root  # where the tables are stored as they are
+        self.salted: str | None = None  # dimension that is joined by key and salt
         self.states = states  # measure states of these shipments, where they are stored
 
     def with_states(self, states) -> Star:
         return Star(self._dimensions, self._shipments, states, self.late, self.root)
 
     def dimension(self, name: str) -> DataFrame:
+        """The rows of a dimension, each once."""
+        rows = self._dimensions[name]()
+        return rows.where(F.col(SALT) == 0).drop(SALT) if name == self.salted else rows
+
+    def copies(self, name: str) -> DataFrame:
+        """The rows of the salted dimension, once for each salt."""
         return self._dimensions[name]()
 
     @property
@@ -71,6 +79,13 @@ class Star:
             df = self.dimension(name)
         return df.select(*schema.TABLES[name].fieldNames())
 
+    def replaced(self, dimensions: dict[str, DataFrame], shipments: DataFrame, salted: str) -> Star:
+        """A star that reads these tables, with copies of ``salted`` rows for each salt."""
+        own = {n: (lambda df=df: df) for n, df in dimensions.items()}
+        star = Star({**self._dimensions, **own}, lambda keys: shipments)
+        star.salted = salted
+        return star
+
     def transformed(self, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> Star:
         """A star whose named tables pass through a function."""
         def apply(name: str, build):
@@ -78,8 +93,10 @@ class Star:
             return (lambda: step(build())) if step else build
 
         facts = steps.get("fact_shipments", lambda df: df)
-        return Star({n: apply(n, b) for n, b in self._dimensions.items()},
+        star = Star({n: apply(n, b) for n, b in self._dimensions.items()},
                     lambda keys: facts(self._shipments(keys)))
+        star.salted = self.salted
+        return star
 
 
 def from_tables(tables: dict[str, DataFrame], root: str | None = None) -> Star:
@@ -89,6 +106,20 @@ def from_tables(tables: dict[str, DataFrame], root: str | None = None) -> Star:
                 lambda keys: tables["fact_shipments"], root=root)
 
 
+def collated(star: Star, collation: str = "UTF8_LCASE_RTRIM") -> Star:
+    """The same star with texts that compare, join and group by a collation.
+
+    The default ignores case and trailing spaces, as many database servers do;
+    without this function texts compare byte by byte.  A group shows one of its
+    spellings, which one is not defined.
+    """
+    def step(df: DataFrame) -> DataFrame:
+        return df.withColumns({
+            f.name: F.collate(f.name, collation) for f in df.schema if isinstance(f.dataType, T.StringType)})
+
+    return star.transformed(dict.fromkeys(schema.TABLES, step))
+
+
 def write_star(star: Star, root: str) -> None:
     """Store all six tables as Parquet, replacing earlier content.
 
