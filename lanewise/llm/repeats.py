@@ -44,6 +44,8 @@ GRAM = 24
 CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20  # of text for a shard, about
 PIECE_BYTES = 1 << 20  # of contexts for one suffix array
+WINDOW = 256 << 10  # starts looked at together
+SPAN = 16 << 10  # contexts cut together
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -136,8 +138,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, group: np.ndarray, cap:
 # --- anchors and contexts
 
 
+def _anchors_of(hashes: np.ndarray) -> np.ndarray:
+    """The place of the least gram hash in each string, from the hashes of all its grams."""
+    least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    width, window = 1, LENGTH - GRAM + 1
+    while width * 2 <= window:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < window:
+        gap = window - width
+        least = np.minimum(least[:-gap], least[gap:])
+    return (least & _PLACE).astype(np.int64)
+
+
 class Runs:
-    """Starts of strings in a chunk, grouped by neighbouring starts with one anchor."""
+    """Starts of strings in a chunk, grouped by neighbouring starts with one anchor.
+
+    The chunk is gone through in windows of starts, each with the bytes its last
+    strings reach into, so what is held for every byte is held for a window only.
+    """
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray):
         ends = np.cumsum(lengths)
@@ -145,27 +164,27 @@ class Runs:
         self.low, self.count, self.doc, self.gram = empty, empty, empty, np.empty(0, np.uint64)
         if len(data) < LENGTH or not (lengths >= LENGTH).any():
             return
-        hashes = grams(data, GRAM)
-        least = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-        width, window = 1, LENGTH - GRAM + 1
-        while width * 2 <= window:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if width < window:
-            gap = window - width
-            least = np.minimum(least[:-gap], least[gap:])
-        anchor = (least & _PLACE).astype(np.int64)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        starts = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= ends[doc[: len(anchor)]])
-        anchor = anchor[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (
-            doc[starts[1:]] != doc[starts[:-1]])
-        first = np.flatnonzero(new)
-        self.low = starts[first]
-        self.count = np.diff(np.append(first, len(starts)))
-        self.doc = doc[self.low]
-        self.gram = hashes[anchor[first]]
+        found, total, last = [], 0, (-2, -1, -1)  # start, anchor and document before
+        for begin in range(0, len(data) - LENGTH + 1, WINDOW):
+            hashes = grams(data[begin: begin + WINDOW + LENGTH - 1], GRAM)
+            anchor = _anchors_of(hashes)
+            starts = np.arange(len(anchor))
+            doc = np.searchsorted(ends, begin + starts, "right")
+            inside = np.flatnonzero(begin + starts + LENGTH <= ends[doc])
+            starts, anchor, doc = starts[inside], anchor[inside], doc[inside]
+            if not len(starts):
+                continue
+            new = np.ones(len(starts), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1])
+            # a run may go on from the window before
+            new[0] = (begin + int(starts[0]) - 1, begin + int(anchor[0]), int(doc[0])) != last
+            last = begin + int(starts[-1]), begin + int(anchor[-1]), int(doc[-1])
+            first = np.flatnonzero(new)
+            found.append((begin + starts[first], total + first, doc[first], hashes[anchor[first]]))
+            total += len(starts)
+        if found:
+            self.low, first, self.doc, self.gram = (np.concatenate(c) for c in zip(*found))
+            self.count = np.diff(np.append(first, total))
 
     def keys(self, ids: np.ndarray, buckets: int):
         """Bucket, hash and 'in two documents' of each different anchor, by bucket."""
@@ -215,11 +234,15 @@ class Contexts:
         at = np.searchsorted(known, runs.gram)
         hit = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == runs.gram) if len(known) else at[:0]
         self.low, self.count, self.doc = runs.low[hit], runs.count[hit], runs.doc[hit]
-        self.gram, raw = runs.gram[hit], self.data.tobytes()
-        seen: dict[bytes, int] = {}
-        self.same = np.array([
-            seen.setdefault(xxhash.xxh3_128_digest(raw[l: l + c + LENGTH - 1]), len(seen))
-            for l, c in zip(self.low.tolist(), self.count.tolist())], np.int64)
+        self.gram, raw = runs.gram[hit], memoryview(self.data)
+        digests = np.frombuffer(b"".join([
+            xxhash.xxh3_128_digest(raw[l: l + c + LENGTH - 1])
+            for l, c in zip(self.low.tolist(), self.count.tolist())]), np.uint64).reshape(-1, 2)
+        by = np.lexsort((digests[:, 1], digests[:, 0]))
+        other = np.ones(len(by), bool)
+        other[1:] = (digests[by[1:]] != digests[by[:-1]]).any(1)
+        self.same = np.empty(len(by), np.int64)
+        self.same[by] = np.cumsum(other) - 1
         _, first = np.unique(self.same, return_index=True)
         bucket = (self.gram[first] % np.uint64(buckets)).astype(np.int64)
         by = np.lexsort((self.gram[first], bucket))
@@ -246,13 +269,15 @@ class Contexts:
         least = np.full(int(counts.sum()), np.iinfo(np.int64).max)
         for bucket, a, b in _by_bucket(self.bucket):
             least[begins[a]: begins[b - 1] + counts[b - 1]] = unpack(answers[bucket], np.int64)
-        starts = spans_of(self.low, self.count)
-        owner = np.repeat(self.ids[self.doc], self.count)
-        gone = starts[least[spans_of(begins[self.same], self.count)] < owner]
         step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + LENGTH, -1)
-        mask = np.cumsum(step[:-1]) > 0
+        for a in range(0, len(self.low), SPAN):
+            count, part = self.count[a: a + SPAN], self.same[a: a + SPAN]
+            owner = np.repeat(self.ids[self.doc[a: a + SPAN]], count)
+            gone = spans_of(self.low[a: a + SPAN], count)[least[spans_of(begins[part], count)] < owner]
+            np.add.at(step, gone, 1)
+            np.add.at(step, gone + LENGTH, -1)
+        np.cumsum(step, out=step)
+        mask = step[:-1] > 0
         at = 0
         for doc, size in zip(self.ids.tolist(), self.lengths.tolist()):
             yield doc, self.data[at: at + size], mask[at: at + size]

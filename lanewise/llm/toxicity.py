@@ -58,7 +58,6 @@ _INNER = re.compile(r"[0-9@$!|+(€£]|(?<=[^\W\d_])[.\-_*~](?=[^\W_][.\-_*~])")
 _JOINT = re.compile(r"(?<=[^\W_]|[@$!|+(€£])[.\-_*~]+(?=[^\W_]|[@$!|+(€£])")
 _BASE = 28
 _SUBSTITUTE, _DROP, _REPEAT, _BREAK = math.log(0.2), math.log(0.3), math.log(0.3), math.log(1e-5)
-_LONG = 48
 
 # Letters whose base letter is not part of their decomposition.
 _BASES = {"ß": "s", "æ": "a", "œ": "o", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "t", "ı": "i"}
@@ -109,50 +108,72 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
-def arcs(text: str) -> list[list[tuple[int, str, float]]]:
-    """The lattice: from each place, (next place, letters or ' ', log probability)."""
-    out, i = [], 0
+def runs_of(text: str) -> list[int]:
+    """At each place how often its character follows there in a row, itself included."""
+    out = [1] * len(text)
+    for i in range(len(text) - 2, -1, -1):
+        if text[i] == text[i + 1]:
+            out[i] = out[i + 1] + 1
+    return out
+
+
+def arcs(text: str):
+    """The lattice: per place, (next place, letter or ' ', how often, log probability).
+
+    A run of three and more equal letters is left as it is, or is one letter or
+    two; each of these is one arc, whatever its length.
+    """
+    runs, skip = runs_of(text), 0
     for i, c in enumerate(text):
-        here = []
-        run = 1
-        while i + run < len(text) and text[i + run] == c:
-            run += 1
-        if c.isalpha():
-            here.append((i + 1, c, 0.0))
-            if run >= 3 and (i == 0 or text[i - 1] != c):
-                here += [(i + run, c, _REPEAT), (i + run, c + c, _REPEAT + _DROP)]
+        here, run = [], runs[i]
+        start = i == 0 or text[i - 1] != c
+        if i < skip:
+            pass  # inside a run of letters: no path stops here
+        elif c.isalpha():
+            here.append((i + run, c, run, 0.0) if run >= 3 else (i + 1, c, 1, 0.0))
+            if run >= 3:
+                here += [(i + run, c, 1, _REPEAT), (i + run, c, 2, _REPEAT + _DROP)]
+                skip = i + run
         else:
             for letter in LOOKALIKES.get(c, ""):
-                here.append((i + 1, letter, _SUBSTITUTE))
-                if run >= 2 and (i == 0 or text[i - 1] != c):
-                    here.append((i + run, letter, _SUBSTITUTE + _REPEAT))
+                here.append((i + 1, letter, 1, _SUBSTITUTE))
+                if run >= 2 and start:
+                    here.append((i + run, letter, 1, _SUBSTITUTE + _REPEAT))
             if c in _SEPARATORS:
-                here.append((i + 1, "", _DROP))
-            here.append((i + 1, " ", 0.0 if c in _SEPARATORS else _BREAK if c in LOOKALIKES else _DROP))
-        out.append(here)
-    return out
+                here.append((i + 1, "", 1, _DROP))
+            here.append((i + 1, " ", 1, 0.0 if c in _SEPARATORS else _BREAK if c in LOOKALIKES else _DROP))
+        yield here
 
 
 def decode(text: str, model: np.ndarray) -> str:
-    """The best path through the lattice of a text of one or a few words."""
-    # by place: state (two last codes) -> (log probability, written so far)
-    at: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-    at[0][(0, 0)] = (0.0, "")
+    """The best path through the lattice of a text of one or a few words.
+
+    Paths are kept as links to what was written before, so the time grows with the
+    length of the text and not with its square.
+    """
+    # by place: state (two last codes) -> (log probability, last link)
+    at: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(0, 0): (0.0, None)}}
     for i, here in enumerate(arcs(text)):
-        for (a, b), (score, done) in at[i].items():
-            for j, letters, cost in here:
-                s, x, y, w = score + cost, a, b, done
-                for c in letters:
-                    code = letter_code(c)
-                    if not (code == 0 and y == 0):
+        for (a, b), (score, done) in at.pop(i, {}).items():
+            for j, letter, often, cost in here:
+                s, x, y, link = score + cost, a, b, done
+                code = letter_code(letter) if letter else 0
+                if letter and not (code == 0 and y == 0):
+                    for _ in range(min(often, 3)):
                         s += model[x, y, code]
                         x, y = y, code
-                        w += c
-                if (x, y) not in at[j] or at[j][(x, y)][0] < s:
-                    at[j][(x, y)] = (s, w)
-        at[i] = {}
-    best = max(at[-1].items(), key=lambda e: e[1][0] + model[e[0][0], e[0][1], 0])
-    return best[1][1]
+                    if often > 3:
+                        s += (often - 3) * model[code, code, code]
+                    link = (link, letter, often)
+                states = at.setdefault(j, {})
+                if (x, y) not in states or states[x, y][0] < s:
+                    states[x, y] = (s, link)
+    best = max(at[len(text)].items(), key=lambda e: e[1][0] + model[e[0][0], e[0][1], 0])
+    link, out = best[1][1], []
+    while link:
+        link, letter, often = link
+        out.append(letter * often)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -204,17 +225,14 @@ class Restorer:
 
     @classmethod
     def _spread(cls, tokens: list[str]) -> list[str]:
-        """Runs of three and more single characters, at least one a letter, in pieces."""
+        """Runs of three and more single characters, at least one a letter."""
         out, run = [], []
         for token in [*tokens, "  "]:
             if one := cls._single(token):
                 run.append(one)
                 continue
-            if len(run) >= 3:
-                for i in range(0, len(run), _LONG):
-                    piece = " ".join(run[max(0, i - _LONG // 2): i + _LONG])
-                    if any(map(str.isalpha, piece)):
-                        out.append(piece)
+            if len(run) >= 3 and any(map(str.isalpha, run)):
+                out.append(" ".join(run))
             run = []
         return out
 

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -79,3 +82,37 @@ def test_pieces_of_a_shard_merge():
     for text, numbers in seen:
         for s, n in enumerate(numbers):
             assert strings.least[n] == least[text[s:s + 50]]
+
+
+@pytest.mark.parametrize("window", [1, 50, 333])
+def test_windows_change_nothing(wide, awkward, monkeypatch, window):
+    whole = [repeats.Runs(*chunk_of(awkward))]
+    monkeypatch.setattr(repeats, "WINDOW", window)
+    monkeypatch.setattr(repeats, "SPAN", 7)
+    whole.append(repeats.Runs(*chunk_of(awkward)))
+    for name in ("low", "count", "doc", "gram"):
+        a, b = (getattr(w, name).tolist() for w in whole)
+        assert a == b and a
+    if window > 1:
+        got = sorted((tuple(r) for r in repeats.remove(wide).collect()), key=str)
+        assert got == sorted((r[:5] for r in brute(awkward)), key=str)
+
+
+def chunk_of(rows):
+    texts = [(t or "").encode() for _, t in rows]
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+
+
+def test_memory_for_a_very_long_text():
+    """The places of a text of 50 MB take no more than some bytes for each of its bytes."""
+    code = """
+import resource, numpy as np
+from lanewise.llm import repeats
+data = np.random.default_rng(1).integers(97, 123, 50_000_000, np.uint8)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert repeats.Runs(data, np.array([len(data)])).count.sum() == len(data) - repeats.LENGTH + 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(data))
+"""
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True,
+                          cwd=Path(__file__).resolve().parents[2])
+    assert float(used.stdout) < 24

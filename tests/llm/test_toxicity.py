@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -93,3 +94,62 @@ def test_empty_tables(spark, nothing, docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(nothing, toxicity.train(nothing, labels)).count() == 0
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()} == {0.0}
+
+
+def all_paths(text, i=0):
+    """Every way to read a token: (written text, log probability of the channel)."""
+    if i == len(text):
+        yield "", 0.0
+        return
+    c, run = text[i], 1
+    while i + run < len(text) and text[i + run] == c:
+        run += 1
+    first = i == 0 or text[i - 1] != c
+    ways = []
+    if c.isalpha():
+        ways.append((1, c, 0.0))
+        if first and run >= 3:
+            ways += [(run, c, toxicity._REPEAT), (run, c + c, toxicity._REPEAT + toxicity._DROP)]
+    else:
+        for letter in toxicity.LOOKALIKES.get(c, ""):
+            ways.append((1, letter, toxicity._SUBSTITUTE))
+            if first and run >= 2:
+                ways.append((run, letter, toxicity._SUBSTITUTE + toxicity._REPEAT))
+        separator, known = c in toxicity._SEPARATORS, c in toxicity.LOOKALIKES
+        if separator:
+            ways.append((1, "", toxicity._DROP))
+        ways.append((1, " ", 0.0 if separator else toxicity._BREAK if known else toxicity._DROP))
+    for step, letters, cost in ways:
+        for rest, more in all_paths(text, i + step):
+            yield letters + rest, cost + more
+
+
+def test_decoding_is_the_best_of_all_paths(model):
+    lm = toxicity.restorer(model.trigrams).model
+
+    def value(path):
+        letters, cost = path
+        x = y = 0
+        for c in letters:
+            code = toxicity.letter_code(c)
+            if code or y:
+                cost, x, y = cost + lm[x, y, code], y, code
+        return cost + lm[x, y, 0]
+
+    def squeezed(text):  # spaces at the start and beside one another are not written
+        return " ".join(text.split())
+
+    r = random.Random(9)
+    for _ in range(400):
+        token = "".join(r.choice("aeiost013!$|.-é") * r.choice([1, 1, 1, 2, 3, 4]) for _ in range(r.randrange(1, 5)))[:8]
+        best = max(map(value, all_paths(token)))
+        allowed = {squeezed(p[0]) for p in all_paths(token) if value(p) > best - 1e-9}
+        assert squeezed(toxicity.decode(token, lm)) in allowed, token
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 1_000_000, "".join(random.Random(1).choice("ab01x9") for _ in range(100_000)), "i " * 50_000 + "d", "!" * 100_000])
+def test_long_runs_take_seconds(model, text):
+    start = time.perf_counter()
+    toxicity.restorer(model.trigrams).words(text)
+    assert time.perf_counter() - start < 30
