@@ -6,10 +6,13 @@ one by one and a part met before is looked up.  A new part goes through the
 agenda (first cut again between characters that no piece has side by side): all adjacent symbol pairs that form a piece wait in a heap, best score
 first and leftmost among equals; taking one joins its symbols and puts up the
 new neighbouring pairs; pairs whose symbols have changed are passed over.  The
-new parts of an Arrow batch are encoded by the sentencepiece library as well,
-and a difference is an error.
+new parts of an Arrow batch are encoded and decoded by the sentencepiece library
+as well, and a difference is an error.  Since parts are whole characters and
+begin with a space sign, a text decodes to what its parts decode to.
 
-Null texts count as empty; an empty text has the end id only.
+Null texts count as empty; an empty text has the end id only.  Rows count one by
+one: doc_id may be null or repeated.  A text is held whole, with its ids; a word
+part of any length goes through the agenda in time n log n.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ class Codec:
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         self.end = lib.eos_id()
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, tuple[int, ...]] = {}  # ids of parts
+        self.told: dict[str, str] = {}  # the same as decimal text, each id followed by a space
+        self.pieces: dict[str, tuple[int, ...]] = {}  # ids of what parts are cut into
         for i in range(lib.vocab_size()):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
@@ -120,33 +125,51 @@ class Codec:
         at = [i for i in range(1, len(part)) if part[i - 1: i + 1] not in joined]
         return [part[a:b] for a, b in zip([0, *at], [*at, len(part)])] if at else [part]
 
-    def _known(self, part: str) -> tuple[int, ...]:
-        ids = self.seen.get(part)
+    def _known(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.seen[part] = self.agenda(part)
+            ids = self.pieces[piece] = self.agenda(piece)
         return ids
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode new parts and check them against the library."""
+    def learn(self, parts: set[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Ids of new parts, checked against the library both ways."""
         new = list(parts)
-        # the library puts a space before a text by itself
-        theirs = iter(self.library.encode([p[1:] for p in new if p[0] == SPACE], num_threads=1))
+        if len(self.pieces) > KEPT_PARTS:
+            self.pieces.clear()
+        made = []
         for part in new:
             cut = self.cut(part)
-            ids = self.agenda(part) if len(cut) == 1 else sum((self._known(c) for c in cut), ())
-            if part[0] == SPACE and list(ids) != next(theirs) and part != SPACE:
+            made.append(self.agenda(part) if len(cut) == 1 else sum((self._known(c) for c in cut), ()))
+        # the library puts a space before a text by itself and takes it off again
+        theirs = self.library.encode([p[1:] for p in new], num_threads=1)
+        back = self.library.decode([list(ids) for ids in made], num_threads=1)
+        for part, ids, other, text in zip(new, made, theirs, back):
+            if (list(ids) != other and part != SPACE) or text != part[1:].replace(SPACE, " "):
                 raise ValueError(f"not as the library encodes it: {part!r}")
-            self.seen[part] = ids
+            yield part, ids
+
+    def _cut(self, texts: list[str], known: dict) -> tuple[list[list[str]], set[str]]:
+        """The parts of each text, and those not known."""
+        cut = [_PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(known) > KEPT_PARTS:
+            known.clear()
+        return cut, set().union(*cut) - known.keys()
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text with the end id last."""
-        cut = [_PART.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.seen) > KEPT_PARTS:
-            self.seen.clear()
-        self.learn(set().union(*cut) - self.seen.keys())
+        cut, new = self._cut(texts, self.seen)
+        self.seen.update(self.learn(new))
         seen, end = self.seen, [self.end]
         return [[i for p in parts for i in seen[p]] + end for parts in cut]
 
+    def spelled(self, texts: list[str]) -> list[str]:
+        """The ids of each text, the end id last, as decimal text with a space between."""
+        cut, new = self._cut(texts, self.told)
+        told, end = self.told, str(self.end)
+        for part, ids in self.learn(new):
+            told[part] = "".join([f"{i} " for i in ids])
+        return ["".join([told[p] for p in parts]) + end for parts in cut]
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1)
 
@@ -200,12 +223,12 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch, rows in _slices(batches, "text"):
-            ids = own.encode(rows)
-            texts = own.decode(ids)
+            ids = own.spelled(rows)
+            texts = [t.replace(SPACE, " ") for t in rows]  # what the checked parts decode to
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(repr(x)[1:-1].replace(",", "").encode()).hexdigest() for x in ids]),
+                pa.array([x.count(" ") + 1 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

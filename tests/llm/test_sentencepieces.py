@@ -16,7 +16,10 @@ def test_as_the_library_encodes(codec):
     letters = list("aabcdeeinorst  ,.▁\n\té日本\u0000🎉ß0123​") + ["<s>", "</s>", "<0x0A>", "<unk>", " the"]
     texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 2, 5, 20, 90]))) for _ in range(3000)]
     texts += ["x" * 5000, "thes" * 3000, " " * 4000, "日本" * 500, "▁ ▁" * 40, "", " ", "a ", " a"]
-    assert codec.encode(texts) == [i + [codec.end] for i in codec.library.encode(texts)]
+    want = [i + [codec.end] for i in codec.library.encode(texts)]
+    assert codec.encode(texts) == want
+    assert codec.spelled(texts) == [" ".join(map(str, i)) for i in want]
+    assert codec.library.decode(want) == [t.replace("▁", " ") for t in texts]
 
 
 def test_list_and_heap_agree(codec):
@@ -30,6 +33,7 @@ def test_a_full_memory_starts_anew(codec, monkeypatch):
     monkeypatch.setattr(sentencepieces, "KEPT_PARTS", 3)
     texts = ["one two three four five six"] * 3 + ["seven eight, nine"]
     for _ in range(3):
+        assert codec.spelled(texts) == [" ".join(map(str, i + [codec.end])) for i in codec.library.encode(texts)]
         assert codec.encode(texts) == [i + [codec.end] for i in codec.library.encode(texts)]
 
 
@@ -45,6 +49,13 @@ def test_digests(wide, awkward, codec):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_a_difference_to_the_library_is_an_error(codec, monkeypatch):
+    monkeypatch.setattr(codec, "agenda", lambda part: (codec.ids["▁"],))
+    monkeypatch.setattr(codec, "pieces", {})
+    with pytest.raises(ValueError):
+        list(codec.learn({"▁quite"}))
+
+
 def test_round_trip_keeps_rows(wide, awkward, nothing):
     out = sentencepieces.round_trip(wide)
     assert out.columns == [*wide.columns, "ids"]
