@@ -7,14 +7,15 @@ documents agree about as often as their sets overlap, and merge by maximum.
 
 1. Documents with one set form a class (known by a 64-bit hash); classes go on.
 2. Bands of register values put classes into buckets.  Each member of a bucket
-   is compared with the bucket's first member and components are built.  Where a
-   bucket still has several components, members that have too few shingles in
-   common with all other components together are left out; the others are
-   compared with one member of each band, and after a new round of the same
-   with all members of other components.
-3. A pair is dropped if the likelihood of its registers (which are larger in
-   one, in the other, equal; the set sizes are known) rules the wanted overlap
-   out; the others are verified on the full sets.
+   is compared with the bucket's first member and components are built: a pair
+   is dropped if the likelihood of its registers (which are larger in one, in
+   the other, equal; the set sizes are known) rules the wanted overlap out; the
+   others are verified on the full sets.
+3. Where a bucket still has several components, members that have too few
+   shingles in common with all other components together are left out.  The
+   others, chained by their buckets to groups, are dealt by size and hash into
+   blocks; a tile is two blocks of one group, and one task compares the members
+   of a tile that share a bucket in the same two steps.  Only links leave it.
 
 With 64 bands of 8 registers a pair at the threshold of 0.8 shares no bucket
 with a probability of 8e-6, one at 0.9 of 2e-16.
@@ -49,6 +50,7 @@ _OFFSET = 4_000  # scale value of a point at distance 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MARGIN = 20.0  # log likelihood by which the threshold may fall behind
+TILE_MEMBERS, TILE_SHINGLES = 512, 1 << 20  # of a block, about
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -214,26 +216,127 @@ def _full(words: int):
     return run
 
 
-def _linked(numerator: int):
-    """Pairs with 100 * intersection >= numerator * union."""
+def _able(numerator: int):
+    """Pairs whose registers leave the wanted overlap possible."""
     def run(batches):
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
                     for c in ("regs_a", "regs_b"))
             keep = np.flatnonzero(likely(a, b, n_a, n_b, numerator / 100)) if len(a) else []
-            good = []
-            for i in keep:
-                x, y = (unpack(batch.column(c)[int(i)].as_py(), np.uint64) for c in ("set_a", "set_b"))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= numerator * (len(x) + len(y) - both):
-                    good.append(int(i))
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    return run
+
+
+def _overlap(x: np.ndarray, y: np.ndarray, numerator: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= numerator * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int(np.count_nonzero(y[at] == x))
+    return 100 * both >= numerator * (len(x) + len(y) - both)
+
+
+def _linked(numerator: int):
+    """Pairs with 100 * intersection >= numerator * union."""
+    def run(batches):
+        for batch in batches:
+            good = [i for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b")))
+                    if _overlap(unpack(x.as_py(), np.uint64), unpack(y.as_py(), np.uint64), numerator)]
             kept = batch.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
     return run
 
 
+def _least_same(least: float) -> int:
+    """Equal registers below which the likelihood rules the overlap out, with twice its margin."""
+    x = np.arange(1, int(REGISTERS * least)) / REGISTERS
+    away = REGISTERS * (x * np.log(x / least) + (1 - x) * np.log((1 - x) / max(1 - least, 1e-3)))
+    return int((away > 2 * _MARGIN).sum())
+
+
+def _tile(numerator: int):
+    """Links between the two blocks of a tile; a block against itself has one side only."""
+    fewest = _least_same(numerator / 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        v, root, n = (table.column(c).to_numpy() for c in ("v", "root", "n"))
+        values = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keys, packed, sets = bands(values), table.column("set"), {}
+
+        def own(i):
+            if i not in sets:
+                sets[i] = unpack(packed[i].as_py(), np.uint64)
+            return sets[i]
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        itself, found = not len(right), []
+        for k, i in enumerate(left.tolist()):
+            with_ = left[k + 1:] if itself else right
+            small, large = np.minimum(n[with_], n[i]), np.maximum(n[with_], n[i])
+            with_ = with_[(root[with_] != root[i]) & (100 * small >= numerator * large)]
+            with_ = with_[(keys[with_] == keys[i]).any(1)]
+            with_ = with_[(values[with_] == values[i]).sum(1) >= fewest]
+            if not len(with_):
+                continue
+            able = likely(np.broadcast_to(values[i], (len(with_), REGISTERS)), values[with_],
+                          np.full(len(with_), float(n[i])), n[with_].astype(float), numerator / 100)
+            found += [(max(v[i], v[j]), min(v[i], v[j])) for j in with_[able].tolist()
+                      if _overlap(own(i), own(j), numerator)]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _tiled(open_: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
+    """Links between members of different components that share a bucket, as (a, b).
+
+    Sizes of linked classes are at most one level apart, so a block meets the
+    blocks of its own level and of the next one.
+    """
+    first = open_.groupBy("band").agg(F.min("v").alias("b")).withColumnRenamed("band", "_band")
+    chain = components(open_.join(first, F.col("band") == F.col("_band")).select(F.col("v").alias("a"), "b"))
+    step = 1.001 * math.log(max(100 / numerator, 1.05))
+    members = (open_.select("v", "root").distinct()
+               .join(chain.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("v") == F.col("_a"), "left")
+               .select("v", "root", F.coalesce("_b", "v").alias("chain"))
+               .join(sets.select(F.col("v").alias("_v"), "n"), F.col("v") == F.col("_v"))
+               .select("v", "root", "chain", F.floor(F.log("n") / step).cast("int").alias("level"), "n"))
+    members = written(members, "members")
+    blocks = members.groupBy("chain", "level").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"))
+    # number of blocks on the level itself, below and above; null where a group has none
+    for name, shift in (("own", 0), ("below", 1), ("above", -1)):
+        other = blocks.select(F.col("chain").alias("_c"), (F.col("level") + shift).alias("_l"),
+                              F.col("blocks").alias(name))
+        members = members.join(other, (F.col("chain") == F.col("_c")) & (F.col("level") == F.col("_l")),
+                               "left").drop("_c", "_l")
+    block = F.pmod(F.xxhash64("v"), F.col("own")).cast("int")
+
+    def dealt(count: str, tile) -> F.Column:
+        every = F.sequence(F.lit(0), F.greatest(F.col(count) - 1, F.lit(0)))
+        return F.when(F.col(count).isNotNull(), F.transform(every, lambda j: F.struct(
+            *(c.cast("int").alias(name) for name, c in zip(("at", "kind", "x", "y", "side"), tile(j)))))
+        ).otherwise(F.array())
+
+    level = F.col("level")
+    tiles = members.select("v", "root", "chain", F.explode(F.concat(
+        dealt("own", lambda j: (level, F.lit(0), F.least(block, j), F.greatest(block, j),
+                                (block > j).cast("int"))),
+        dealt("above", lambda j: (level, F.lit(1), block, j, F.lit(0))),
+        dealt("below", lambda j: (level - 1, F.lit(1), j, block, F.lit(1))))).alias("t")
+    ).select("v", "root", "chain", "t.*")
+    tiles = tiles.join(sets.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v")).drop("_v")
+    return tiles.groupBy("chain", "at", "kind", "x", "y").applyInArrow(
+        _tile(numerator), "a bigint, b bigint")
+
+
 def _asked(buckets: int):
     """The shingles of each class by key bucket, with its component."""
     def run(batches):
@@ -310,23 +413,24 @@ def classes(df: DataFrame, words: int = 5, numerator: int = 80) -> DataFrame:
     entries = written(
         grouped(parts.where("bucket >= 0"), "bucket", buckets, _shared,
                 "band bigint, v bigint, pivot bigint", _members), "buckets")
-    wanted = (entries.select(F.col("v").alias("_v")).distinct()
-              .join(one, F.col("v") == F.col("_v")).select("v", "doc"))
+    wanted = written(entries.select(F.col("v").alias("_v")).distinct()
+                     .join(one, F.col("v") == F.col("_v")).select("v", "doc"), "wanted")
     texts = docs.join(wanted.select(F.col("doc").alias("_doc")).distinct(),
                       F.col("doc_id") == F.col("_doc"), "left_semi").select("text")
     sets = texts.mapInArrow(_full(words), "v bigint, n bigint, regs binary, set binary")
     sets = written(sets.join(wanted.select(F.col("v").alias("_w")), F.col("v") == F.col("_w"), "left_semi")
                    .dropDuplicates(["v"]), "class-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def beside(pairs: DataFrame, *held: str) -> DataFrame:
         for side in ("a", "b"):
-            own = sets.select(*[F.col(c).alias(f"{c}_{side}") for c in sets.columns])
+            own = sets.select(*[F.col(c).alias(f"{c}_{side}") for c in ("v", *held)])
             pairs = pairs.join(own, F.col(side) == F.col(f"v_{side}"))
-        return pairs.drop("v_a", "v_b").mapInArrow(_linked(numerator), "a bigint, b bigint")
+        return pairs.drop("v_a", "v_b")
 
-    first = written(entries.where("v <> pivot").select(
-        F.greatest("v", "pivot").alias("a"), F.least("v", "pivot").alias("b")).distinct(), "pairs")
-    links = written(verified(first), "links")
+    pairs = entries.where("v <> pivot").select(
+        F.greatest("v", "pivot").alias("a"), F.least("v", "pivot").alias("b")).distinct()
+    able = written(beside(pairs, "n", "regs").mapInArrow(_able(numerator), "a bigint, b bigint"), "pairs")
+    links = written(beside(able, "set").mapInArrow(_linked(numerator), "a bigint, b bigint"), "links")
     # rows that share a doc_id are one document
     twice = (linkable.groupBy("doc_id").agg(F.min("v").alias("b"), F.max("v").alias("_a"))
              .where("b <> _a").select(F.col("doc_id").alias("_doc"), "b"))
@@ -334,21 +438,11 @@ def classes(df: DataFrame, words: int = 5, numerator: int = 80) -> DataFrame:
              .select(F.col("v").alias("a"), "b").distinct())
     links = links.unionByName(twice)
     roots = components(links)
-    tried = first
-    for whole in (False, True):
-        open_ = written(_open(entries, roots, sets, numerator), "open-buckets")
-        # at first with one member of each band, another one from band to band
-        other = open_ if whole else open_.groupBy("band").agg(
-            F.min_by(F.struct("v", "root"), F.xxhash64("v", "band")).alias("m")).select("band", "m.*")
-        other = other.select(F.col("band").alias("_band"), F.col("v").alias("_w"), F.col("root").alias("_root"))
-        met = (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root"))
-        met = met & (F.col("v") > F.col("_w")) if whole else met
-        pairs = open_.join(other, met).select(F.greatest("v", "_w").alias("a"), F.least("v", "_w").alias("b"))
-        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(pairs), "links")
-        if not more.isEmpty():
-            roots = components(roots.unionByName(more))
-        tried = tried.unionByName(pairs)
+    open_ = written(_open(entries, roots, sets, numerator), "open-buckets")
+    more = written(_tiled(open_, sets, numerator), "links")
+    if not more.isEmpty():
+        # links between classes, so components of components
+        roots = components(roots.unionByName(more))
     root = one.join(roots.withColumnRenamed("a", "_v"), F.col("v") == F.col("_v"), "left").select(
         "v", "doc", F.coalesce("b", "v").alias("root"))
     smallest = root.groupBy("root").agg(F.min("doc").alias("component_id")).withColumnRenamed("root", "_root")

@@ -82,3 +82,40 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.a: r.b for r in got} == {v: root(v) for v in parent if root(v) != v}
     assert len(got) == len({r.a for r in got})
+
+
+def _close_group(count, seed):
+    """Texts of 40 shared phrases each, so that many pairs lie around the threshold and few chains form."""
+    r = random.Random(seed)
+    phrases = [" ".join(f"w{r.randrange(10 ** 6)}" for _ in range(9)) for _ in range(60)]
+    rows = []
+    for i in range(count):
+        held = list(phrases[:30]) + r.sample(phrases[30:], 10)
+        if rows and r.random() < 0.1:  # and some pairs above it
+            held = r.choice(rows)[1].split(" | ")
+            held[r.randrange(len(held))] = f"own {i}"
+        rows.append((i * 7 % (count * 7 + 1), " | ".join(held)))
+    r.shuffle(rows)
+    return rows
+
+
+def test_no_link_of_close_texts_is_lost_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "TILE_MEMBERS", 60)
+    rows = _close_group(400, 3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted((tuple(x) for x in neardups.classes(df, 4, 80).collect()), key=str)
+    assert got == brute(rows, 4)
+
+
+def test_one_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:280_000])), (3, " ".join(words[:200_000])), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in neardups.classes(df, 4, 80).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_overlap_by_whole_numbers():
+    a = np.arange(4, dtype=np.uint64)
+    assert neardups._overlap(a, np.arange(5, dtype=np.uint64), 80)
+    assert not neardups._overlap(a, np.arange(6, dtype=np.uint64), 80)
+    assert not neardups._overlap(a, a + np.uint64(4), 80)
