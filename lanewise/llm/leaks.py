@@ -1,22 +1,31 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are compared as lower-cased words with one space between them.  A region
-of a document holds a benchmark item of m bytes if it can be edited into the
-item with at most k = edit_rate * m byte edits.  Such a region and the item
-share at least m - q + 1 - k * q of their q-grams, on diagonals (place in the
-document minus place in the item) that lie within k of each other.  So shared
-q-grams are counted in diagonal bands of width 2k that overlap by half; bands
-below the bound are dropped and the others are verified by banded alignment.
-Items too short for the bound to say anything are searched without edits.
-
-Null and empty texts hold nothing; null and empty items are never found;
-repeated items or documents give a row each.  Items are sent to the tasks in
-blocks of at most ``block_bytes``; a larger benchmark takes several passes.
+Texts and items are compared as lower-cased words with one space between them,
+before the first and after the last.  A region of a text holds an item of m
+bytes if it can be edited into the item, these rims included, with at most
+k = edit_rate * m byte edits: one rule for all lengths, by which a short item
+counts only as whole words.  Such a region and the item of then L = m + 2 bytes
+share at least L + 1 - (k + 1) * q of their q-grams, on diagonals (place in the
+text minus place in the item) that lie within k of each other.  q is 12, or as
+much less as the item needs for that bound to be at least one.  Shared q-grams
+are counted in diagonal bands of width 2(k + 1) that overlap by half; bands below
+the bound are dropped, overlapping bands of an item become one region, and each
+region is verified once by a bit-parallel alignment.
+
+Long texts are searched in overlapping windows and, where very many q-grams
+meet, one half of the items after the other, so memory is bounded for texts of
+any length and items that share wording; the result is the same.
+
+Null and empty texts hold nothing; null and empty items and items without id are
+never found; repeated items or documents give a row each, rows without doc_id
+one without doc_id.  Of places of an item with equally few edits the first to end
+is given, then the shortest.  Items are sent to the tasks in blocks of at most
+``block_bytes``; a larger benchmark takes several passes.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +38,9 @@ from lanewise.plans.frozen import fresh_path, written
 Q = 12
 EDIT_RATE = 0.05
 _BITS = 22
+_WINDOW = 1 << 18  # bytes of a text searched at once
+_HITS = 1 << 20  # shared q-grams looked at together
 _P = np.uint64(0x9E3779B97F4A7C15)
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 # ASCII letters to lower case, other ASCII but digits to a space
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -64,108 +74,180 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of one pass with their q-grams sorted by hash."""
+    """Items of one q with their q-grams sorted by hash."""
 
-    ids: np.ndarray
+    q: int
+    numbers: np.ndarray  # places of the items among those given
     texts: list[bytes]
     budgets: np.ndarray
-    needed: np.ndarray
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
 
-
-def block(items: list[tuple[int, bytes]], q: int, rate: float) -> Block | None:
-    kept = [(i, folded(t)) for i, t in items]
-    kept = [(i, t) for i, t in kept if i is not None and t]
-    if not kept:
-        return None
-    sizes = np.array([len(t) for _, t in kept])
-    budgets = np.floor(rate * sizes).astype(np.int64)
-    budgets = np.where(sizes - q + 1 - budgets * q >= 1, budgets, 0)
-    needed = np.maximum(sizes - q + 1 - budgets * q, 1)
-    parts = [grams(np.frombuffer(t, np.uint8), q) for _, t in kept]
+    def __post_init__(self):
+        sizes = np.array([len(t) for t in self.texts])
+        self.longest = int(sizes.max())
+        self.reach = int((sizes + self.budgets).max())  # the longest region that holds an item
+        self.needed = sizes + 1 - (self.budgets + 1) * self.q
+        self._halves: list[Block] | None = None
+
+    def halves(self) -> list[Block]:
+        if self._halves is None:
+            middle = len(self.texts) // 2
+            self._halves = []
+            for low, high in ((0, middle), (middle, len(self.texts))):
+                own = (self.item >= low) & (self.item < high)
+                self._halves.append(Block(
+                    self.q, self.numbers[low:high], self.texts[low:high], self.budgets[low:high],
+                    self.hashes[own], self.item[own] - low, self.place[own], self.filter))
+        return self._halves
+
+
+def blocks(items: list[tuple[int | None, bytes]], q: int, rate: float) -> list[Block]:
+    """The items that can be found, one block for each q they need."""
+    by_q: dict[int, list[tuple[int, bytes, int]]] = {}
+    for number, (id_, text) in enumerate(items):
+        own = folded(text)
+        if id_ is not None and own:
+            budget = int(rate * len(own))
+            needs = max(1, min(q, (len(own) + 2) // (budget + 1)))
+            by_q.setdefault(needs, []).append((number, b" " + own + b" ", budget))
+    return [_block(own, own_q) for own_q, own in sorted(by_q.items())]
+
+
+def _block(kept: list[tuple[int, bytes, int]], q: int) -> Block:
+    parts = [grams(np.frombuffer(t, np.uint8), q) for _, t, _ in kept]
     hashes = np.concatenate(parts)
     item = np.repeat(np.arange(len(kept)), [len(p) for p in parts])
     place = np.concatenate([np.arange(len(p)) for p in parts])
     order = np.argsort(hashes, kind="stable")
     marked = np.zeros(1 << _BITS, bool)
     marked[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Block(np.array([i for i, _ in kept]), [t for _, t in kept], budgets, needed,
-                 hashes[order], item[order], place[order], marked)
+    return Block(q, np.array([i for i, _, _ in kept]), [t for _, t, _ in kept],
+                 np.array([k for _, _, k in kept]), hashes[order], item[order], place[order], marked)
+
+
+def distances(pattern: bytes, text: bytes, anchored: bool) -> list[int]:
+    """Fewest edits from a pattern to a part of the text up to each place.
+
+    The part starts anywhere or, anchored, with the text.  A column of the
+    alignment is two whole numbers: the bits where it rises and where it falls.
+    """
+    bits: dict[int, int] = {}
+    for i, letter in enumerate(pattern):
+        bits[letter] = bits.get(letter, 0) | 1 << i
+    full, last = (1 << len(pattern)) - 1, 1 << len(pattern) - 1
+    rises, falls, cost = full, 0, len(pattern)
+    out = [cost]
+    for letter in text:
+        same = bits.get(letter, 0)
+        diagonal = ((same & rises) + rises ^ rises | same | falls) & full
+        up = falls | full & ~(diagonal | rises)
+        down = rises & diagonal
+        if up & last:
+            cost += 1
+        elif down & last:
+            cost -= 1
+        up = up << 1 | anchored
+        same |= falls
+        rises = (down << 1 | ~(same | up)) & full
+        falls = up & same & full
+        out.append(cost)
+    return out
 
 
 def align(item: bytes, text: bytes, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits from an item to any part of a text: (edits, start, end), ends leftmost."""
+    """Fewest edits from an item to any part of a text: (edits, start, end).
+
+    Of equally good parts the first to end, then the shortest.
+    """
     at = text.find(item)
     if at >= 0:
         return 0, at, at + len(item)
     if not budget:
         return None
-    a, t = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
-    n = len(t)
-    steps = np.arange(n + 1)
-    cost, origin = np.zeros(n + 1, np.int64), steps.copy()
-    scale = n + 1
-    for i, letter in enumerate(a, 1):
-        other = np.empty(n + 1, np.int64)
-        other[1:] = np.where(t == letter, 0, 1) + cost[:-1]
-        start = np.empty(n + 1, np.int64)
-        start[1:] = origin[:-1]
-        other[0], start[0] = i, 0
-        drop = cost + 1
-        better = drop < other
-        other, start = np.where(better, drop, other), np.where(better, origin, start)
-        # insertions: the best of any place further left plus its distance
-        key = (other - steps) * scale + steps
-        best = np.minimum.accumulate(key)
-        source = best % scale
-        cost, origin = other[source] + steps - source, start[source]
-        if cost.min() > budget:
-            return None
-    end = int(cost.argmin())
-    return (int(cost[end]), int(origin[end]), end) if cost[end] <= budget else None
-
-
-def search(text: bytes, held: Block, q: int) -> list[tuple[int, int, int, int]]:
-    """(item number, edits, start, end) of every item found in a folded text."""
+    costs = distances(item, text, False)
+    least = min(costs)
+    if least > budget:
+        return None
+    end = costs.index(least)
+    before = text[max(0, end - len(item) - budget): end][::-1]
+    return least, end - distances(item[::-1], before, True).index(least), end
+
+
+def _matches(text: bytes, held: Block) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, edits, start, end) for the regions of a text that hold an item."""
     data = np.frombuffer(text, np.uint8)
-    found = {}
-    for number in np.flatnonzero([len(t) < q for t in held.texts]):
-        at = (b" " + text + b" ").find(b" " + held.texts[number] + b" ")
-        if at >= 0:
-            found[number] = (0, at, at + len(held.texts[number]))
-    hashes = grams(data, q)
+    hashes = grams(data, held.q)
     places = np.flatnonzero(held.filter[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
     hashes = hashes[places]
     first = np.searchsorted(held.hashes, hashes, "left")
     count = np.searchsorted(held.hashes, hashes, "right") - first
-    hit = spans_of(first, count)
-    at, item, place = np.repeat(places, count), held.item[hit], held.place[hit]
-    if len(item):
-        longest = max(map(len, held.texts))
-        diagonal = at - place + longest
-        step = held.budgets[item] + 1
-        bands = [diagonal // step + 1, diagonal // step]  # a band spans two steps
-        keys = np.concatenate([item * (1 << 40) + b for b in bands])
-        # a q-gram of the document counts once in a band
-        once = np.unique(np.stack([keys, np.concatenate([at, at])]), axis=1)
-        bands_, counts = np.unique(once[0], return_counts=True)
-        for key, shared in zip(bands_, counts):
-            number = int(key >> 40)
-            if shared < held.needed[number]:
-                continue
-            budget, step_ = int(held.budgets[number]), int(held.budgets[number]) + 1
-            low = (int(key & ((1 << 40) - 1)) - 1) * step_ - longest
-            start = max(0, low - budget)
-            end = min(len(text), low + 2 * step_ + len(held.texts[number]) + budget)
-            if number in found and not found[number][0]:
-                continue
-            got = align(held.texts[number], text[start:end], budget)
-            if got and (number not in found or got[0] < found[number][0]):
-                found[number] = (got[0], got[1] + start, got[2] + start)
-    return [(int(n), *map(int, v)) for n, v in sorted(found.items())]
+    total = int(count.sum())
+    if not total:
+        return
+    if total > _HITS and len(held.texts) > 1:
+        for half in held.halves():
+            yield from _matches(text, half)
+        return
+    if total > _HITS:  # one item all over the text: align the whole of it
+        regions = [(0, 0, len(text))]
+    else:
+        hit = spans_of(first, count)
+        regions = _regions(np.repeat(places, count), held.item[hit], held.place[hit], held, len(text))
+    for number, start, end in regions:
+        got = align(held.texts[number], text[start:end], int(held.budgets[number]))
+        if got:
+            yield int(held.numbers[number]), got[0], got[1] + start, got[2] + start
+
+
+def _regions(at, item, place, held: Block, size: int) -> list[tuple[int, int, int]]:
+    """(item number, start, end) of the united bands with enough shared q-grams."""
+    step = held.budgets[item] + 1
+    band = (at - place + held.longest) // step  # a band spans two steps: its own and the next
+    item, band, at = np.concatenate([item, item]), np.concatenate([band, band - 1]), np.concatenate([at, at])
+    order = np.lexsort((at, band, item))
+    item, band, at = item[order], band[order], at[order]
+    other = np.ones(len(at), bool)
+    other[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    new = other.copy()  # a q-gram of the text counts once in a band
+    new[1:] |= at[1:] != at[:-1]
+    firsts = np.flatnonzero(other)
+    enough = np.add.reduceat(new.astype(np.int64), firsts) >= held.needed[item[firsts]]
+    out: list[tuple[int, int, int]] = []
+    for number, own in zip(item[firsts[enough]].tolist(), band[firsts[enough]].tolist()):
+        budget = int(held.budgets[number])
+        low = own * (budget + 1) - held.longest
+        start = max(0, low - budget)
+        end = min(size, low + 2 * (budget + 1) + len(held.texts[number]) + budget)
+        if out and out[-1][0] == number and start <= out[-1][2]:
+            out[-1] = (number, out[-1][1], max(end, out[-1][2]))
+        else:
+            out.append((number, start, end))
+    return out
+
+
+def matches(text: bytes, held: list[Block]) -> Iterator[tuple[int, int, int, int]]:
+    """(item number, edits, start, end) of regions with an item, places in the folded text."""
+    rimmed = b" " + text + b" "
+    for own in held if text else ():
+        size = max(_WINDOW, 2 * own.reach)
+        for low in range(0, max(1, len(rimmed) - own.reach), size - own.reach):
+            for number, edits, start, end in _matches(rimmed[low: low + size], own):
+                start, end = low + start, low + end
+                start += rimmed[start] == 0x20
+                end -= rimmed[end - 1] == 0x20
+                yield number, edits, start - 1, end - 1
+
+
+def search(text: bytes, held: list[Block]) -> list[tuple[int, int, int, int]]:
+    """(item number, edits, start, end) of every item found in a folded text, at its best place."""
+    found: dict[int, tuple[int, int, int]] = {}
+    for number, edits, start, end in matches(text, held):
+        got = (edits, end, -start)
+        found[number] = min(found.get(number, got), got)
+    return [(n, edits, -start, end) for n, (edits, end, start) in sorted(found.items())]
 
 
 def find(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = EDIT_RATE,
@@ -197,13 +279,11 @@ _SCHEMA = "doc_id bigint, item_id bigint, edits int, start_byte bigint, end_byte
 
 def _searcher(sent, q: int, rate: float):
     def run(batches):
-        held = block(sent.value, q, rate)
+        held = blocks(sent.value, q, rate)
         for batch in chunks(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
-            if held is not None:
-                for doc, text in zip(ids, batch.column("text").to_pylist()):
-                    rows += [(doc, int(held.ids[n]), e, a, b)
-                             for n, e, a, b in search(folded(text), held, q)]
+            for doc, text in zip(ids, batch.column("text").to_pylist()):
+                rows += [(doc, sent.value[n][0], *found) for n, *found in search(folded(text), held)]
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -237,12 +317,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = E
 
 def _clean(sent, place: int, q: int, rate: float):
     def run(batches):
-        held = block(sent.value, q, rate)
+        held = blocks(sent.value, q, rate)
         for batch in chunks(batches):
-            if held is None:
-                yield batch
-                continue
-            keep = [not search(folded((t or "").encode()), held, q) for t in batch.column(place).to_pylist()]
+            keep = [next(matches(folded((t or "").encode()), held), None) is None
+                    for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

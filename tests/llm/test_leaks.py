@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -45,11 +46,8 @@ def test_equals_full_alignment(spark, items, texts):
     for doc, text in texts:
         for item, own in items:
             a, b = leaks.folded(own.encode()), leaks.folded(text.encode())
-            budget = int(leaks.EDIT_RATE * len(a))
-            if len(a) - leaks.Q + 1 - budget * leaks.Q < 1:
-                budget = 0
-            n = edits(a, b)
-            if n <= budget:
+            n = edits(b" " + a + b" ", b" " + b + b" ")
+            if n <= int(leaks.EDIT_RATE * len(a)):
                 want[(doc, item)] = n
     got = leaks.find(docs, bench).collect()
     assert {(r.doc_id, r.item_id): r.edits for r in got} == want
@@ -58,6 +56,80 @@ def test_equals_full_alignment(spark, items, texts):
     assert 20 < len(want) < 120
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.2])
+@pytest.mark.parametrize("hits, window", [(1 << 20, 1 << 18), (3, 40)])
+def test_items_of_all_lengths_against_full_alignment(monkeypatch, rate, hits, window):
+    monkeypatch.setattr(leaks, "_HITS", hits)
+    monkeypatch.setattr(leaks, "_WINDOW", window)
+    r = random.Random(int(rate * 100))
+    words = ["ab", "ba", "aab", "b", "abba", "baab", "a"]
+    own = [" ".join(r.choice(words) for _ in range(r.randrange(1, 16))).encode() for _ in range(60)]
+    own += [own[0], b"one two", b"a" * 22]
+    held = leaks.blocks([(7, t) for t in own], leaks.Q, rate)
+    hit = 0
+    for _ in range(60):
+        text = list(b" ".join(r.choice(own) for _ in range(r.randrange(1, 4))))
+        for _ in range(r.randrange(4)):
+            text[r.randrange(len(text))] = r.choice(b"abc")
+        text = leaks.folded(bytes(text))
+        want = {}
+        for n, item in enumerate(own):
+            cost = edits(b" " + item + b" ", b" " + text + b" ")
+            if cost <= int(rate * len(item)):
+                want[n] = cost
+        got = leaks.search(text, held)
+        assert {n: e for n, e, _, _ in got} == want
+        for n, cost, a, b in got:
+            assert 0 <= a < b <= len(text)
+            if not cost:
+                assert text[a:b] == own[n]
+        assert bool(want) == (next(leaks.matches(text, held), None) is not None)
+        hit += len(want)
+    assert hit > 200
+
+
+def test_short_items_count_as_whole_words():
+    held = leaks.blocks([(1, b"one two"), (2, b"one two three"), (3, b"x"), (None, b"bone"), (4, b" ")], 12, 0.05)
+    assert leaks.search(b"bone two threefold", held) == []
+    assert leaks.search(b"one two three x", held) == [(0, 0, 0, 7), (1, 0, 0, 13), (2, 0, 14, 15)]
+    one_edit = leaks.blocks([(1, b"abcd efgh ijkl mnop")], 12, 0.06)
+    assert [e for _, e, _, _ in leaks.search(b"abcd efgh ijkx mnop", one_edit)] == [1]
+    assert leaks.search(b"abcd efgh xjkx mnop", one_edit) == []
+
+
+def test_distances_of_anchored_and_free_starts():
+    r = random.Random(2)
+    for _ in range(80):
+        a, b = (bytes(r.choices(b"abc", k=r.randrange(1, 70))) for _ in range(2))
+        free, anchored = [len(a)], [len(a)]
+        rows = [list(range(len(a) + 1))] * 2
+        for letter in b:
+            for own, out, first in ((0, free, 0), (1, anchored, len(anchored))):
+                before, now = rows[own], [first]
+                for i, c in enumerate(a, 1):
+                    now.append(min(before[i] + 1, now[-1] + 1, before[i - 1] + (c != letter)))
+                rows[own] = now
+                out.append(now[-1])
+        assert leaks.distances(a, b, False) == free
+        assert leaks.distances(a, b, True) == anchored
+
+
+def test_items_that_share_a_line_and_long_texts():
+    r = random.Random(8)
+    line = " ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(r.randrange(90)) for _ in range(40))
+    own = [(i, f"{line} {i} {' '.join(str(r.random()) for _ in range(12))}".encode()) for i in range(2_000)]
+    held = leaks.blocks(own, leaks.Q, leaks.EDIT_RATE)
+    begin = time.monotonic()
+    assert leaks.search(leaks.folded(f"before {line} after ".encode() * 3), held) == []
+    found = leaks.search(leaks.folded(b"x " * 600_000 + own[77][1] + b" y" * 300_000 + b" " + own[5][1]), held)
+    assert [(n, e) for n, e, _, _ in found] == [(5, 0), (77, 0)]
+    assert time.monotonic() - begin < 60
+    # one item of equal letters in a text of them
+    same = leaks.blocks([(1, b"a" * 3_000)], leaks.Q, leaks.EDIT_RATE)
+    assert leaks.search(b"a" * 20_000, same) == [(0, 1, 0, 3_000)]
+    assert leaks.search(b"a" * 3_000, same) == [(0, 0, 0, 3_000)]
+
+
 def test_align_gives_the_place():
     assert leaks.align(b"abcdef", b"xxabcdefxx", 1) == (0, 2, 8)
     cost, start, end = leaks.align(b"abcdef", b"xxabXdefxx", 2)
