@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 CHUNK_BYTES = 4 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,6 +35,13 @@ def utf8(text: Column) -> Column:
     return text.cast("string").cast("binary")
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library keep for reuse: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES,
            text: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of text; a longer text stands alone."""
@@ -45,6 +55,8 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES,
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

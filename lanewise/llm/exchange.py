@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lanewise.llm.arrays import give_back
+
 PARTS = "chunk bigint, bucket bigint, a binary, b binary, c binary"
 Part = tuple[int, int, bytes | None, bytes | None, bytes | None]
 
@@ -29,6 +31,8 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[Part]:
         columns = [batch.column(n) for n in ("chunk", "bucket", "a", "b", "c")]
         for i in range(batch.num_rows):
             yield tuple(c[i].as_py() for c in columns)
+        del batch, columns
+        give_back()
 
 
 def numbered(make: Callable[[pa.RecordBatch], tuple[bytes, bytes, bytes] | None], cut):

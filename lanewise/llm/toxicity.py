@@ -320,11 +320,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             toxic = pa.array([k for k in known if k is not None], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("text").take(some), toxic], ["text", "toxic"])
 
-    labelled = texts.mapInArrow(picked, "text binary, toxic int")
-
     def run(batches):
         own = restorer(trigrams)
-        for batch in chunks(batches):
+        for batch in chunks(picked(batches)):
             texts_ = [(t or b"").decode() for t in batch.column("text").to_pylist()]
             found = [sorted(map(xxhash.xxh3_64_intdigest, own.words(t))) for t in texts_]
             yield pa.RecordBatch.from_arrays([
@@ -333,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 pa.array([[h - (1 << 63) for h in f] for f in found], pa.list_(pa.int64())),
             ], ["near", "toxic", "words"])
 
-    read = labelled.mapInArrow(run, "near bigint, toxic int, words array<bigint>")
+    read = texts.mapInArrow(run, "near bigint, toxic int, words array<bigint>")
     # of near copies with one label the one with most words is kept
     once = written(read.groupBy("near", "toxic").agg(F.max_by("words", F.size("words")).alias("words")),
                    "toxic-words")
