@@ -61,3 +61,16 @@ def test_round_trip_keeps_rows(wide, awkward, nothing):
     assert out.columns == [*wide.columns, "ids"]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(awkward, key=str)
     assert sentencepieces.round_trip(nothing).count() == 0
+
+
+def test_frequent_parts_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "KEPT_PARTS", 40)
+    own, learnt = sentencepieces.Codec(sentencepieces.model_path()), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda parts: learnt.extend(parts) or learn(parts))
+    for i in range(30):
+        text = "often met " + " ".join(f"once{i}x{j}" for j in range(9))
+        ids = own.library.encode(text) + [own.end]
+        assert own.spelled([text]) == [" ".join(map(str, ids))]
+    assert learnt.count(f"{sentencepieces.SPACE}often") == learnt.count(f"{sentencepieces.SPACE}met") == 1
+    assert len(own.told.young) + len(own.told.old) < 3 * 40
