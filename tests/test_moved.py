@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lanewise import schema
 from lanewise.functions import distinct
+from lanewise.operators import reports
 from lanewise.operators.clean import clean_star
+from lanewise.sources import delimited
 from lanewise.sources.derived import derived_star
 from lanewise.sources.star import MONTH, from_tables, read_star, write_star
 
@@ -80,3 +82,35 @@ def test_keys_reach_the_shuffle_as_words(spark):
     assert "_word" in optimized(maps)
     assert distinct.wide_counts(distinct.bitmaps(df, ["a", "far"]), ["a", "far"]).first().asDict() == {
         "a": 3200, "far": 3200}
+
+
+@pytest.fixture(scope="module")
+def clean(spark, tiny, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("clean"))
+    write_star(clean_star(derived_star(spark, tiny)), root)
+    return read_star(spark, root)
+
+
+def test_report_rows_are_narrow_until_they_are_joined(clean):
+    plan = optimized(reports.shipments(clean, ["shipment_key", "carrier_name", "delivery_flag"]))
+    above, below = plan.split("Join", 1)
+    assert "On Time" in above and "On Time" not in below
+
+
+@pytest.mark.parametrize("small", [8 << 20, -1])
+def test_published_rows_stay_with_their_month(clean, monkeypatch, small):
+    """Shuffled by month once, before the small dimensions, and only where one is large."""
+    monkeypatch.setattr(reports, "SMALL", small)
+    made = reports._flat(clean, None, False, None, reports.sizes_of(clean), dealt=MONTH)
+    plan = optimized(made)
+    assert plan.count("RebalancePartitions") == (small < 0)
+    assert made.where(~F.col(MONTH).eqNullSafe(F.trunc("order_date", "MM"))).count() == 0
+    assert sorted(map(repr, made.drop(MONTH).collect())) == sorted(map(repr, reports.shipments(clean).collect()))
+
+
+def test_exported_text_is_compressed_and_loads_alike(spark, clean, tmp_path):
+    rows = clean.table("fact_shipments")
+    delimited.export(rows, f"{tmp_path}/text")
+    files = [p.name for p in (tmp_path / "text").glob("part-*")]
+    assert files and all(name.endswith(".gz") for name in files)
+    assert rows_of(delimited.load(spark, "fact_shipments", f"{tmp_path}/text").rows) == rows_of(rows)
