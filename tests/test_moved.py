@@ -9,6 +9,7 @@ from lanewise import schema
 from lanewise.functions import distinct
 from lanewise.operators import reports
 from lanewise.operators.clean import clean_star
+from lanewise.plans import versions
 from lanewise.sources import delimited
 from lanewise.sources.derived import derived_star
 from lanewise.sources.star import MONTH, from_tables, read_star, write_star
@@ -114,3 +115,13 @@ def test_exported_text_is_compressed_and_loads_alike(spark, clean, tmp_path):
     files = [p.name for p in (tmp_path / "text").glob("part-*")]
     assert files and all(name.endswith(".gz") for name in files)
     assert rows_of(delimited.load(spark, "fact_shipments", f"{tmp_path}/text").rows) == rows_of(rows)
+
+
+def test_dealt_months_are_written_whole_and_the_setting_restored(spark, clean, tmp_path, monkeypatch):
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    facts = clean.facts()
+    monkeypatch.setattr(versions, "OPEN_MONTHS", 2)  # rows of further months are sorted
+    versions.write_dealt(facts, MONTH, str(tmp_path / "t"))
+    assert spark.conf.get(setting) == before
+    assert spark.read.parquet(str(tmp_path / "t")).count() == facts.count()
