@@ -1,6 +1,7 @@
 """Distributed ranks against plain counting."""
 
 import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -119,3 +120,16 @@ def test_rows_below_a_rank_are_computed_once(stars):
     plan = executed(df).split("Initial Plan")[0]
     assert "ReusedExchange" in plan
     assert sum("FileScan" in line and "shipment_cost" in line for line in plan.splitlines()) == 1
+
+
+def test_both_uses_of_ranked_rows_read_the_same_columns(spark, tmp_path):
+    """Else their shuffles differ, and the table is read and dealt twice."""
+    rows = [(f"n{i % 50}", i % 7, 10 + i % 3, i) for i in range(400)]
+    spark.createDataFrame(rows, "name string, late bigint, shipments bigint, cost bigint").write.parquet(f"{tmp_path}/t")
+    sums = [F.sum(c).alias(c) for c in ("late", "shipments", "cost")]
+    df = spark.read.parquet(f"{tmp_path}/t").groupBy("name").agg(*sums)
+    got = rank_all(df, m.exact_delay_rate(), ["name"], "rank")
+    assert len(set(re.findall("ReadSchema: (.*)", executed(got)))) == 1
+    groups = [tuple(r) for r in df.collect()]
+    assert {r["name"]: (r["cost"], r["rank"]) for r in got.collect()} == {
+        n: (c, 1 + sum(Fraction(a, b) > Fraction(late, all_) for _, a, b, _ in groups)) for n, late, all_, c in groups}
